@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.operators import leak, mixture, spam
+from loomgraph.llm.operators import leak, mixture, secrets, spam
 from loomgraph.schema import table
 
 
@@ -59,3 +59,18 @@ dg AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 12), ' ') AS
 eg AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM e) x)
 SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)""",
 }
+
+
+def _coded(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "source_files").select("id", "code").unionByName(table(spark, d, "code_nodes").select("id", "code"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credentials(_coded(spark, d)).select("id", "line_no").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.credentials(_coded(spark, d), text=True)
+
+
+QUERIES |= {"p6_found": p6_found, "p6_redacted": p6_redacted}
