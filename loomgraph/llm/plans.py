@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.operators import leak, mixture, secrets, spam
+from loomgraph.llm.operators import invalid, leak, mixture, secrets, spam
 from loomgraph.schema import table
 
 
@@ -74,3 +74,20 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_redacted": p6_redacted}
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return invalid.parsed(table(spark, d, "source_files")).where(F.size("errors") > 0).select("id").distinct()
+
+
+def p3_errors(spark: SparkSession, d: str) -> DataFrame:
+    """All errors of each broken file, the first cause first."""
+    bad = invalid.parsed(table(spark, d, "source_files")).where(F.size("errors") > 0)
+    return bad.select("id", "path", "language", F.size("errors").alias("n_errors"), F.col("errors")[0]["line"].alias("first_line"), F.col("errors")[0]["message"].alias("first_cause"), "errors")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return invalid.rates(table(spark, d, "source_files"))
+
+
+QUERIES |= {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates}
