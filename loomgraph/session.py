@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SHIPPED: set[str] = set()
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -54,3 +57,17 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once a session, also where they share no folder with the driver."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"  # served by the driver, not read from there
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
