@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.operators import invalid, leak, mixture, secrets, spam
+from loomgraph.llm.operators import handwritten, invalid, leak, mixture, secrets, spam
 from loomgraph.schema import table
 
 
@@ -91,3 +91,14 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES |= {"p3_found": p3_found, "p3_errors": p3_errors, "p3_rates": p3_rates}
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classify(table(spark, d, "source_files")).where("generated OR minified OR vendored OR blob").select("id")
+
+
+def p2_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classify(table(spark, d, "source_files"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_kinds": p2_kinds}
