@@ -43,6 +43,8 @@ class Graph:
 
     nodes: DataFrame
     edges: DataFrame
+    #: edges before those with a missing end are dropped, where that is known: joining them with the nodes drops them as well
+    raw: DataFrame | None = field(default=None, repr=False)
     _joined: DataFrame | None = field(default=None, repr=False)
 
     @property
@@ -55,7 +57,8 @@ class Graph:
         if self._joined is None:
             s = self.nodes.select(*[F.col(c).alias(f"s_{c}") for c in NODE_COLUMNS])
             d = self.nodes.select(*[F.col(c).alias(f"d_{c}") for c in NODE_COLUMNS])
-            self._joined = self.edges.join(s, F.col("src") == F.col("s_id")).join(d, F.col("dst") == F.col("d_id")).drop("src", "dst")
+            edges = self.edges if self.raw is None else self.raw
+            self._joined = edges.join(s, F.col("src") == F.col("s_id")).join(d, F.col("dst") == F.col("d_id")).drop("src", "dst")
         return self._joined
 
     def sql(self, text: str) -> DataFrame:
@@ -67,11 +70,14 @@ class Graph:
 
 
 def dedupe(nodes: DataFrame, order: list[str], first: bool = False) -> DataFrame:
-    """One row an id: the last by ``order`` (or the first), as graph builders with either policy keep it."""
+    """One row an id: the last by ``order`` (or the first), as graph builders with either policy keep it.
+
+    One aggregate a column, so that columns a query does not use are not read.
+    ``order`` is to be total within an id but for repeated rows.
+    """
     at = F.struct(*order)
     best = F.min_by if first else F.max_by
-    rest = [c for c in nodes.columns if c != "id"]
-    return nodes.where("id IS NOT NULL").groupBy("id").agg(best(F.struct(*rest), at).alias("_")).select("id", "_.*")
+    return nodes.where("id IS NOT NULL").groupBy("id").agg(*[best(c, at).alias(c) for c in nodes.columns if c != "id"])
 
 
 def merge(*graphs: Graph) -> Graph:
@@ -88,7 +94,8 @@ def connected(nodes: DataFrame, edges: DataFrame) -> Graph:
     """Edges with a missing end are dropped, as the store does on saving."""
     ids = nodes.select("id")
     e = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return Graph(nodes, e.select("rel_id", "src", "dst", "type", "line", "confidence"))
+    cols = ["rel_id", "src", "dst", "type", "line", "confidence"]
+    return Graph(nodes, e.select(cols), edges.select(cols))
 
 
 def load(spark: SparkSession, folder: str) -> Graph:
