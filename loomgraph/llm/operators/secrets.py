@@ -54,6 +54,9 @@ _BODY = re.compile(r"[A-Za-z0-9+/=_-]{8,}")
 _KNOWN = re.compile(r"(?<![\w-])(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{20,}|AKIA[A-Z0-9]{16}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_\w{16,}|AIza[\w-]{30,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})")
 _HOT = re.compile(r"pass|pwd|secret|token|key|auth|cred|login|bearer|connect|sign_?in", re.I)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
+_SIGNS = re.compile(r"[!@#%&^*~?]")
+#: a lookup with its name, before an operator that gives a default
+_LOOKED_UP = re.compile(r"(?:\b(?:getenv|env|get|config|getProperty)\s*\(\s*[\"'](\w+)[\"'][^()]*\)|\b(?:environ|ENV|_ENV|_SERVER|env)\s*\[\s*[\"'](\w+)[\"']\s*\]|\bprocess\.env\.(\w+))\s*(?:\?\?|\|\||\?:|\bor\b)\s*$")
 _PLAIN = re.compile(r"[a-z]+(?:[-/._ ][a-z]+)*")
 
 
@@ -109,7 +112,7 @@ class Finder:
         return len(v) >= TOKEN_CHARS and not any(c.isspace() for c in v) and not placeholder(v) and not _PLAIN.fullmatch(v) and not v.startswith(("data:", "http://", "https://", "sha256-", "sha384-", "sha512-")) and any(c.isdigit() for c in v) and self.unnatural(v)
 
     def holds(self, kind: str, v: str) -> bool:
-        return self.password(v) if kind == "password" else self.token(v)
+        return self.password(v) if kind == "password" else self.token(v) or len(v) >= 8 and bool(_SIGNS.search(v)) and self.password(v)
 
     def find(self, code: str | None) -> list[Found]:
         """Non-overlapping credentials in order; of overlapping ones the first found by start, then the longest."""
@@ -192,8 +195,12 @@ class Finder:
             key = _STRING.search(args)
             own = name_kind(key.group()[1:-1]) if key else None
             name = _NAME.search(before)
-            return own or (name_kind(name.group(1)) if name else None), False
+            # what stands in for a credential in its lookup is one, however weak
+            return "password" if own or name and name_kind(name.group(1)) else None, False
         if default:
+            key = _LOOKED_UP.search(before)
+            if key and name_kind(next(filter(None, key.groups()))):
+                return "password", False
             name = re.match(r"\s*(?:(?:export|public|private|protected|static|final|const|let|var|val)\s+)*\$?(?:\w+(?:->|\.))*(\w+)", before)
             return name_kind(name.group(1)) if name else None, False
         name = _NAME.search(before)
