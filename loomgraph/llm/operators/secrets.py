@@ -152,7 +152,7 @@ class Finder:
             cut = re.search(r"\n\s*\n|-----BEGIN", body)
             if cut and not end:
                 body = body[: cut.start()]
-            if sum(len(b) for b in _BODY.findall(body)) >= 16:
+            if sum(len(b) for b in _BODY.findall(body) if len(set(b)) > 2) >= 16:
                 yield Found(m.start(), end.end() if end else m.end() + len(body), "block")
 
     def _line(self, code: str, lo: int, hi: int) -> Iterator[Found]:
