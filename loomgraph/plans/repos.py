@@ -10,7 +10,7 @@ from loomgraph.functions import names
 from loomgraph.operators import preflight, tools
 from loomgraph.plans.tools import oracle
 from loomgraph.schema import table
-from loomgraph.sources import graph_json
+from loomgraph.sources import graph_json, python_source
 
 CUT = "2025-01-20"
 
@@ -49,7 +49,13 @@ def export_json(spark: SparkSession, d: str) -> DataFrame:
     return graph_json.to_json(G.load(spark, d))
 
 
-QUERIES = {"repo_metrics": repo_metrics, "incremental_changes": incremental_changes, "get_method_source": get_method_source, "get_ui_to_api_call_map": ui_to_api, "export_dot": export_dot, "export_graphml": export_graphml, "export_json": export_json}
+def python_source_edges(spark: SparkSession, d: str) -> DataFrame:
+    """What the Python files' own syntax tells: containment, imports, inheritance, decorators and calls."""
+    g = python_source.read(table(spark, d, "source_files"))
+    return g.edges.select("src", "type", "dst", "line", "confidence")
+
+
+QUERIES = {"python_source_edges": python_source_edges, "repo_metrics": repo_metrics, "incremental_changes": incremental_changes, "get_method_source": get_method_source, "get_ui_to_api_call_map": ui_to_api, "export_dot": export_dot, "export_graphml": export_graphml, "export_json": export_json}
 
 _FAMILY = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in v)}) THEN '{k}'" for k, v in preflight.FAMILIES.items()) + " END"
 _LATEST = "SELECT repo, path, code, row_number() OVER (PARTITION BY repo, path ORDER BY loaded_at DESC) AS k FROM source_files"
