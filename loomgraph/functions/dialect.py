@@ -1,15 +1,15 @@
 """Operator texts are written once; what the two engines spell differently is marked.
 
 ``@re(x, 'p')``       x contains a match of the regular expression p
-``@set(x)``           the distinct non-null values of x, sorted, joined by ", "
-``@first(x, n)``      the n smallest distinct values of x, joined by ", "
+``@set(x)``           the distinct non-null values of x, sorted, joined by ", ":
+                      only where a group has few of them
 """
 
 from __future__ import annotations
 
 import re
 
-_CALL = re.compile(r"@(re|set|first)\(")
+_CALL = re.compile(r"@(re|set)\(")
 
 
 def _args(text: str, at: int) -> tuple[list[str], int]:
@@ -33,8 +33,8 @@ def _args(text: str, at: int) -> tuple[list[str], int]:
     raise ValueError("a marked call without end: " + text[at : at + 40])
 
 
-_SPARK = {"re": "regexp_like({0}, {1})", "set": "array_join(array_sort(collect_set({0})), ', ')", "first": "array_join(slice(array_sort(collect_set({0})), 1, {1}), ', ')"}
-_DUCK = {"re": "regexp_matches({0}, {1})", "set": "string_agg(DISTINCT {0}, ', ' ORDER BY {0})", "first": "array_to_string(list_slice(list_sort(list(DISTINCT {0})), 1, {1}), ', ')"}
+_SPARK = {"re": "regexp_like({0}, {1})", "set": "array_join(array_sort(collect_set({0})), ', ')"}
+_DUCK = {"re": "regexp_matches({0}, {1})", "set": "string_agg(DISTINCT {0}, ', ' ORDER BY {0})"}
 
 
 def _fill(text: str, forms: dict[str, str]) -> str:

@@ -43,6 +43,19 @@ def _rows(pairs: list[tuple[str, ...]], cols: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(repr(x) for x in p) + ')' for p in pairs)}) AS {cols}"
 
 
+def _sampled(rows: str, group: str, value: str, counts: str, samples: str) -> str:
+    """Counts by group and the five smallest values of each as ``samples``.
+
+    The values are ranked, which is cut to five a group before the shuffle as
+    well; no group is gathered.
+    """
+    return f"""WITH x AS ({rows}),
+k AS (SELECT {group}, {value}, row_number() OVER (PARTITION BY {group} ORDER BY {value}) AS k FROM (SELECT DISTINCT {group}, {value} FROM x WHERE {value} IS NOT NULL) d),
+f AS (SELECT {group}, @set({value}) AS {samples} FROM k WHERE k <= 5 GROUP BY {group}),
+c AS (SELECT {group}, {counts} FROM x GROUP BY {group})
+SELECT c.*, f.{samples} FROM c LEFT JOIN f ON {' AND '.join(f'f.{g} = c.{g}' for g in group.split(', '))}"""
+
+
 PACKAGE_LINKS = "SELECT p1.s_qn AS from_pkg, p2.s_qn AS to_pkg, c.type AS type, c.rel_id AS rel_id, c.s_qn AS from_qn, c.d_qn AS to_qn FROM {t} c JOIN {t} p1 ON p1.type = 'CONTAINS' AND p1.s_label = 'Package' AND p1.d_id = c.s_id JOIN {t} p2 ON p2.type = 'CONTAINS' AND p2.s_label = 'Package' AND p2.d_id = c.d_id WHERE p1.s_qn <> p2.s_qn AND c.type IN (%s)"
 DEPENDS = "'CALLS', 'EXTENDS', 'IMPLEMENTS', 'OF_TYPE'"
 
@@ -68,8 +81,8 @@ SECTIONS: dict[str, str] = {
     "get_component_coupling_matrix__both_ways": f"WITH w AS (SELECT from_pkg, to_pkg, count(*) AS weight FROM ({PACKAGE_LINKS % DEPENDS}) x GROUP BY from_pkg, to_pkg) SELECT a.from_pkg AS package_a, a.to_pkg AS package_b, a.weight AS forth, b.weight AS back FROM w a JOIN w b ON a.from_pkg = b.to_pkg AND a.to_pkg = b.from_pkg WHERE a.from_pkg < a.to_pkg",
     "get_module_dependency_map": "SELECT s_path AS from_path, d_path AS to_path, count(*) AS weight FROM {t} WHERE type IN ('IMPORTS', 'CALLS') AND s_path IS NOT NULL AND d_path IS NOT NULL AND s_path <> d_path GROUP BY s_path, d_path",
     "get_module_dependency_map__imports": "SELECT s_qn AS module, d_qn AS dependency, d_label AS type, count(*) AS n FROM {t} WHERE type = 'IMPORTS' GROUP BY s_qn, d_qn, d_label",
-    "get_module_interactions__outgoing": f"SELECT from_pkg AS module, to_pkg AS target_module, count(*) AS call_count, @first(from_qn, 5) AS sample_callers FROM ({PACKAGE_LINKS % repr('CALLS')}) x GROUP BY from_pkg, to_pkg",
-    "get_module_interactions__incoming": f"SELECT to_pkg AS module, from_pkg AS source_module, count(*) AS call_count, @first(to_qn, 5) AS sample_targets FROM ({PACKAGE_LINKS % repr('CALLS')}) x GROUP BY from_pkg, to_pkg",
+    "get_module_interactions__outgoing": _sampled("SELECT from_pkg AS module, to_pkg AS target_module, from_qn FROM (" + PACKAGE_LINKS % "'CALLS'" + ") y", "module, target_module", "from_qn", "count(*) AS call_count", "sample_callers"),
+    "get_module_interactions__incoming": _sampled("SELECT to_pkg AS module, from_pkg AS source_module, to_qn FROM (" + PACKAGE_LINKS % "'CALLS'" + ") y", "module, source_module", "to_qn", "count(*) AS call_count", "sample_targets"),
     "get_module_interactions__inheritance": f"SELECT from_pkg AS module, from_qn AS child, to_qn AS parent, to_pkg AS parent_module FROM ({PACKAGE_LINKS % (repr('EXTENDS') + ', ' + repr('IMPLEMENTS'))}) x",
     "detect_circular_dependencies__packages": "WITH w AS (SELECT DISTINCT from_pkg, to_pkg FROM (" + PACKAGE_LINKS % "'CALLS', 'EXTENDS', 'IMPLEMENTS'" + ") x) SELECT a.from_pkg AS package_a, a.to_pkg AS package_b FROM w a JOIN w b ON a.from_pkg = b.to_pkg AND a.to_pkg = b.from_pkg WHERE a.from_pkg < a.to_pkg",
     "detect_circular_dependencies__calls": "WITH c AS (SELECT DISTINCT s_qn, d_qn FROM {t} WHERE type = 'CALLS' AND s_qn <> d_qn) SELECT a.s_qn AS method_a, a.d_qn AS method_b FROM c a JOIN c b ON a.s_qn = b.d_qn AND a.d_qn = b.s_qn WHERE a.s_qn < a.d_qn",
@@ -78,7 +91,7 @@ SECTIONS: dict[str, str] = {
     "get_hotspots__fan_out": "SELECT s_id AS id, s_qn AS method, s_label AS type, count(DISTINCT d_id) AS fan_out FROM {t} WHERE type = 'CALLS' GROUP BY s_id, s_qn, s_label",
     "get_hotspots__god_class": "SELECT s_id AS id, s_qn AS class, count(*) AS member_count FROM {t} WHERE type = 'CONTAINS' AND s_label = 'Class' GROUP BY s_id, s_qn",
     "get_hotspots__top_coupling": f"WITH d AS (SELECT src AS id FROM {{e}} WHERE type IN ({DEPENDS}) UNION ALL SELECT dst FROM {{e}} WHERE type IN ({DEPENDS})) SELECT id, count(*) AS degree FROM d GROUP BY id ORDER BY degree DESC, id LIMIT 15",
-    "get_external_dependencies": "WITH x AS (SELECT qn, label, CASE WHEN instr(qn, '.') = 0 THEN qn WHEN length(qn) - length(replace(qn, '.', '')) = 1 THEN split_part(qn, '.', 1) WHEN length(qn) - length(replace(qn, '.', '')) = 2 THEN concat(split_part(qn, '.', 1), '.', split_part(qn, '.', 2)) ELSE concat(split_part(qn, '.', 1), '.', split_part(qn, '.', 2), '.', split_part(qn, '.', 3)) END AS grp FROM {n} WHERE external AND qn IS NOT NULL) SELECT grp, count(*) AS symbols, @first(qn, 5) AS samples FROM x GROUP BY grp",
+    "get_external_dependencies": _sampled("SELECT qn, label, CASE WHEN instr(qn, '.') = 0 THEN qn WHEN length(qn) - length(replace(qn, '.', '')) = 1 THEN split_part(qn, '.', 1) WHEN length(qn) - length(replace(qn, '.', '')) = 2 THEN concat(split_part(qn, '.', 1), '.', split_part(qn, '.', 2)) ELSE concat(split_part(qn, '.', 1), '.', split_part(qn, '.', 2), '.', split_part(qn, '.', 3)) END AS grp FROM {n} WHERE external AND qn IS NOT NULL", "grp", "qn", "count(*) AS symbols", "samples"),
     "get_layer_classification__annotation": f"SELECT DISTINCT l.layer AS layer, s_qn AS class, d_name AS annotation FROM {{t}} JOIN {_rows(list(LAYER_ANNOTATION.items()), 'l(layer, words)')} ON @re(d_name, concat('(?i)(', l.words, ')')) WHERE type = 'HAS_ANNOTATION' AND s_label IN ('Class', 'Interface', 'Module', 'Component')",
     "get_layer_classification__suffix": f"SELECT DISTINCT l.layer AS layer, qn AS class, label AS type FROM {{n}} JOIN {_rows([(k, s) for k, v in LAYER_SUFFIX.items() for s in v], 'l(layer, suffix)')} ON name LIKE concat('%', l.suffix) WHERE label IN ('Class', 'Module', 'Component')",
     "get_architecture_summary__languages": "SELECT language, count(*) AS n FROM {n} GROUP BY language",
@@ -86,21 +99,21 @@ SECTIONS: dict[str, str] = {
     "get_entry_points__annotated": f"SELECT DISTINCT s_qn AS target, d_name AS annotation, s_label AS type FROM {{t}} WHERE type = 'HAS_ANNOTATION' AND {_like('d_name', ENTRY_ANNOTATION)}",
     "get_entry_points__main": "SELECT qn AS entry, label AS type, visibility FROM {n} WHERE label IN ('Method', 'Function') AND name = 'main'",
     "get_entry_points__exports": "SELECT s_qn AS module, d_qn AS export, d_label AS type, d_language AS language FROM {t} WHERE type = 'EXPORTS'",
-    "get_entry_points__uncalled": "SELECT qn AS method, name FROM {n} WHERE label = 'Method' AND visibility = 'public' AND NOT external AND NOT EXISTS (SELECT 1 FROM {e} x WHERE x.type = 'CALLS' AND x.dst = id)",
+    "get_entry_points__uncalled": "SELECT qn AS method, name FROM {n} WHERE label = 'Method' AND visibility = 'public' AND NOT external AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT dst FROM {e} WHERE type = 'CALLS') x WHERE x.dst = id)",
     "get_api_endpoints__named": f"SELECT DISTINCT qn AS endpoint, label AS type, language FROM {{n}} WHERE label IN ('Function', 'ArrowFunction', 'Method') AND {_like('name', ENDPOINT_FUNCTION)}",
     "get_api_endpoints__annotated": f"SELECT s_qn AS method, s_name AS name, d_name AS annotation, s_line AS line, s_label AS type FROM {{t}} WHERE type = 'HAS_ANNOTATION' AND s_label IN ('Method', 'Function') AND {_like('d_name', HTTP_ANNOTATION)}",
     "get_api_endpoints__controllers": f"SELECT s_qn AS controller, d_name AS annotation, s_path AS path, s_label AS type FROM {{t}} WHERE type = 'HAS_ANNOTATION' AND s_label IN ('Class', 'Module') AND {_like('d_name', CONTROLLER_ANNOTATION)}",
     "get_scheduled_jobs": f"SELECT s_qn AS method, s_name AS name, d_name AS annotation, s_line AS line, s_label AS type FROM {{t}} WHERE type = 'HAS_ANNOTATION' AND {_like('d_name', JOB_ANNOTATION)}",
-    "get_exception_handling": "SELECT d_qn AS exception, count(*) AS throws, count(DISTINCT s_id) AS methods, @first(s_qn, 5) AS samples FROM {t} WHERE type = 'THROWS' GROUP BY d_qn",
+    "get_exception_handling": _sampled("SELECT d_qn AS exception, s_qn, s_id FROM {t} WHERE type = 'THROWS' AND d_qn IS NOT NULL", "exception", "s_qn", "count(*) AS throws, count(DISTINCT s_id) AS methods", "samples"),
     "get_design_patterns__factory": "SELECT s_qn AS factory, d_qn AS product FROM {t} WHERE type = 'RETURNS' AND s_label = 'Method' AND d_label = 'Interface'",
     "get_design_patterns__strategy": "WITH i AS (SELECT d_id AS id, d_qn AS qn, count(*) AS impls FROM {t} WHERE type = 'IMPLEMENTS' GROUP BY d_id, d_qn) SELECT i.qn AS strategy, i.impls AS impl_count, c.s_qn AS consumer FROM i JOIN {t} f ON f.type = 'OF_TYPE' AND f.d_id = i.id JOIN {t} c ON c.type = 'CONTAINS' AND c.d_id = f.s_id WHERE i.impls >= 2",
     "get_design_patterns__observer": f"SELECT qn AS class, name, label AS type FROM {{n}} WHERE label IN ('Class', 'Interface') AND @re(name, '({OBSERVER})')",
     "get_domain_model__fields": "SELECT c.s_qn AS owner_class, c.d_name AS field_name, o.d_qn AS type_name FROM {t} c LEFT JOIN {t} o ON o.type = 'OF_TYPE' AND o.s_id = c.d_id WHERE c.type = 'CONTAINS' AND c.s_label = 'Class' AND c.d_label = 'Field' AND NOT c.s_external",
     "get_domain_model__entities": "SELECT qn AS entity, name, label AS type FROM {n} WHERE label = 'Class' AND @re(name, '(Model|Schema|Entity|Document|Record|Dto|DTO)$')",
-    "get_domain_model__implementors": "SELECT d_qn AS interface, count(DISTINCT s_id) AS n, @set(s_name) AS implementors FROM {t} WHERE type = 'IMPLEMENTS' GROUP BY d_qn",
-    "get_unused_code__methods": "SELECT qn AS method, visibility FROM {n} WHERE label = 'Method' AND visibility IN ('public', 'protected') AND name <> 'main' AND NOT external AND NOT EXISTS (SELECT 1 FROM {e} x WHERE x.type IN ('CALLS', 'OVERRIDES') AND x.dst = id)",
-    "get_unused_code__classes": "SELECT qn AS class FROM {n} WHERE label = 'Class' AND NOT external AND NOT EXISTS (SELECT 1 FROM {e} x WHERE x.type IN ('EXTENDS', 'IMPLEMENTS', 'OF_TYPE', 'CALLS') AND x.dst = id) AND NOT EXISTS (SELECT 1 FROM {e} y WHERE y.type = 'HAS_ANNOTATION' AND y.src = id)",
-    "get_unused_code__interfaces": "SELECT qn AS interface FROM {n} WHERE label = 'Interface' AND NOT external AND NOT EXISTS (SELECT 1 FROM {e} x WHERE x.type = 'IMPLEMENTS' AND x.dst = id)",
+    "get_domain_model__implementors": "SELECT DISTINCT d_qn AS interface, s_qn AS implementor FROM {t} WHERE type = 'IMPLEMENTS'",
+    "get_unused_code__methods": "SELECT qn AS method, visibility FROM {n} WHERE label = 'Method' AND visibility IN ('public', 'protected') AND name <> 'main' AND NOT external AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT dst FROM {e} WHERE type IN ('CALLS', 'OVERRIDES')) x WHERE x.dst = id)",
+    "get_unused_code__classes": "SELECT qn AS class FROM {n} WHERE label = 'Class' AND NOT external AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT dst FROM {e} WHERE type IN ('EXTENDS', 'IMPLEMENTS', 'OF_TYPE', 'CALLS')) x WHERE x.dst = id) AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT src FROM {e} WHERE type = 'HAS_ANNOTATION') y WHERE y.src = id)",
+    "get_unused_code__interfaces": "SELECT qn AS interface FROM {n} WHERE label = 'Interface' AND NOT external AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT dst FROM {e} WHERE type = 'IMPLEMENTS') x WHERE x.dst = id)",
     "get_public_api_surface": "SELECT 'export' AS what, s_qn AS owner, d_qn AS symbol, d_label AS type, d_path AS path FROM {t} WHERE type = 'EXPORTS' UNION ALL SELECT 'method', NULL, qn, label, path FROM {n} WHERE label = 'Method' AND visibility = 'public'",
     "get_extension_points": f"SELECT DISTINCT label AS type, qn AS name, path FROM {{n}} WHERE label IN ('Interface', 'SealedClass', 'Hook', 'Function') OR {_like('name', EXTENSION_NAME)}",
     # front end
@@ -114,7 +127,7 @@ SECTIONS: dict[str, str] = {
     "get_api_client_summary__clients": f"SELECT DISTINCT label AS type, qn AS name, path FROM {{n}} WHERE label IN ('Module', 'Function', 'ArrowFunction', 'AsyncFunction', 'Class') AND {_like('name', CLIENT_NAME)}",
     "get_api_client_summary__imports": f"SELECT s_qn AS module, d_qn AS dependency FROM {{t}} WHERE type = 'IMPORTS' AND {_like('d_name', CLIENT_IMPORT)}",
     "get_api_client_summary__calls": f"SELECT DISTINCT s_qn AS caller, s_label AS caller_type, d_qn AS target, line FROM {{t}} WHERE type = 'CALLS' AND ({_like('d_name', CLIENT_CALL)} OR {_like('d_qn', CLIENT_CALL)})",
-    "get_component_tree__roots": "SELECT DISTINCT qn AS root, path FROM {n} WHERE label = 'Component' AND NOT EXISTS (SELECT 1 FROM {e} x WHERE x.type = 'RENDERS' AND x.dst = id)",
+    "get_component_tree__roots": "SELECT DISTINCT qn AS root, path FROM {n} WHERE label = 'Component' AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT dst FROM {e} WHERE type = 'RENDERS') x WHERE x.dst = id)",
     "get_component_tree__renders": "SELECT s_qn AS parent, d_qn AS child, line FROM {t} WHERE type = 'RENDERS' AND d_label = 'Component'",
     "get_hook_usage_graph": f"SELECT 'use' AS what, s_qn AS consumer, s_label AS consumer_type, d_qn AS target, line FROM {{t}} WHERE type = 'USES_HOOK' UNION ALL SELECT 'call', s_qn, s_label, d_qn, line FROM {{t}} WHERE type = 'CALLS' AND s_label = 'Hook' AND {_like('d_name', CLIENT_CALL)}",
     "get_state_ownership_map__owners": f"SELECT DISTINCT qn AS state_owner, label AS state_type, path FROM {{n}} WHERE label IN ('Hook', 'Component', 'Module', 'Function') AND {_like('name', STORE_NAME)}",
