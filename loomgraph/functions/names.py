@@ -17,9 +17,13 @@ def tokens(name: Column) -> Column:
 
 
 def overlaps(left: DataFrame, left_name: str, right: DataFrame, right_name: str, first: int = 3) -> DataFrame:
-    """Pairs of names with a common word, of each left name the ``first`` right names by number of common words and name."""
+    """Pairs of names with a common word, of each left name the ``first`` right names in order.
+
+    Of a word only its ``first`` right names can be among those of a left name
+    that has it, so that no word, however common, gives all its pairs.
+    """
     a = left.select(left_name).distinct().select(left_name, F.explode(tokens(F.col(left_name))).alias("_w"))
     b = right.select(right_name).distinct().select(right_name, F.explode(tokens(F.col(right_name))).alias("_w"))
-    pairs = a.join(b, "_w").groupBy(left_name, right_name).agg(F.count("*").alias("common"))
-    rank = F.row_number().over(Window.partitionBy(left_name).orderBy(F.desc("common"), right_name))
-    return pairs.withColumn("_r", rank).where(F.col("_r") <= first).drop("_r")
+    b = b.withColumn("_r", F.row_number().over(Window.partitionBy("_w").orderBy(right_name))).where(F.col("_r") <= first)
+    pairs = a.join(b, "_w").select(left_name, right_name).distinct()
+    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy(left_name).orderBy(right_name))).where(F.col("_r") <= first).drop("_r")

@@ -72,7 +72,7 @@ SECTIONS: dict[str, str] = {
     "get_package_contents": "SELECT s_qn AS package, d_name AS name, d_qn AS qn, d_label AS type, d_visibility AS visibility, d_path AS path FROM {t} WHERE type = 'CONTAINS' AND s_label = 'Package'",
     "get_class_details": "SELECT s_qn AS class, 'member' AS section, d_label AS kind, d_name AS name, d_visibility AS visibility, d_line AS line FROM {t} WHERE type = 'CONTAINS' AND s_label IN ('Class', 'Interface', 'Enum', 'Record', 'DataClass', 'SealedClass') UNION ALL SELECT s_qn, 'annotation', d_label, d_name, NULL, line FROM {t} WHERE type = 'HAS_ANNOTATION' AND s_label IN ('Class', 'Interface', 'Enum', 'Record', 'DataClass', 'SealedClass') UNION ALL SELECT s_qn, 'file', d_label, d_path, NULL, NULL FROM {t} WHERE type = 'SOURCE_FILE' AND s_label IN ('Class', 'Interface', 'Enum', 'Record', 'DataClass', 'SealedClass')",
     "get_method_signature": "SELECT qn AS method, 'self' AS section, name AS value, visibility AS extra, line FROM {n} WHERE label = 'Method' UNION ALL SELECT s_qn, CASE type WHEN 'HAS_PARAMETER' THEN 'parameter' WHEN 'RETURNS' THEN 'returns' ELSE 'annotation' END, d_name, d_qn, d_line FROM {t} WHERE s_label = 'Method' AND type IN ('HAS_PARAMETER', 'RETURNS', 'HAS_ANNOTATION') UNION ALL SELECT d_qn, 'class', s_name, s_qn, s_line FROM {t} WHERE d_label = 'Method' AND type = 'CONTAINS'",
-    "get_annotations_usage": "SELECT d_name AS annotation, s_label AS target_type, count(*) AS usage_count, sum(count(*)) OVER (PARTITION BY d_name) AS annotation_total FROM {t} WHERE type = 'HAS_ANNOTATION' GROUP BY d_name, s_label UNION ALL SELECT s_name, d_label, count(*), sum(count(*)) OVER (PARTITION BY s_name) FROM {t} WHERE type = 'DECORATES' GROUP BY s_name, d_label",
+    "get_annotations_usage": "SELECT d_name AS annotation, s_label AS target_type, count(*) AS usage_count, CAST(sum(count(*)) OVER (PARTITION BY d_name) AS BIGINT) AS annotation_total FROM {t} WHERE type = 'HAS_ANNOTATION' GROUP BY d_name, s_label UNION ALL SELECT s_name, d_label, count(*), CAST(sum(count(*)) OVER (PARTITION BY s_name) AS BIGINT) FROM {t} WHERE type = 'DECORATES' GROUP BY s_name, d_label",
     # architecture
     "get_architecture_overview__packages": "SELECT s_qn AS package, d_label AS type, count(*) AS n FROM {t} WHERE type = 'CONTAINS' AND s_label = 'Package' GROUP BY s_qn, d_label",
     "get_architecture_overview__dependencies": f"SELECT from_pkg, to_pkg, count(*) AS weight FROM ({PACKAGE_LINKS % DEPENDS}) x GROUP BY from_pkg, to_pkg",

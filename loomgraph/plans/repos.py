@@ -60,7 +60,10 @@ QUERIES = {"python_source_edges": python_source_edges, "repo_metrics": repo_metr
 _FAMILY = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(e) for e in v)}) THEN '{k}'" for k, v in preflight.FAMILIES.items()) + " END"
 _LATEST = "SELECT repo, path, code, row_number() OVER (PARTITION BY repo, path ORDER BY loaded_at DESC) AS k FROM source_files"
 
+_WORDS = "list_filter(string_split_regex(lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' +'), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(map(repr, names.STOP)) + "], w))"
+
 SQL = {
+    "get_ui_to_api_call_map": oracle("WITH c AS (" + tools.SECTIONS["get_api_client_summary__calls"] + "), p AS (" + tools.SECTIONS["get_api_endpoints__named"] + "), a AS (SELECT DISTINCT caller, unnest(" + _WORDS.replace("{c}", "caller") + ") AS w FROM (SELECT DISTINCT caller FROM c) x), b AS (SELECT DISTINCT endpoint, unnest(" + _WORDS.replace("{c}", "endpoint") + ") AS w FROM (SELECT DISTINCT endpoint FROM p) x), m AS (SELECT DISTINCT caller, endpoint FROM a JOIN b USING (w)) SELECT caller, endpoint FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY endpoint) AS k FROM m) y WHERE k <= 3"),
     "repo_metrics": f"""WITH f AS (SELECT repo, path, code, {_FAMILY} AS family FROM (SELECT *, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM ({_LATEST}) a WHERE k = 1 AND NOT regexp_matches(path, '{preflight.IGNORED_ANYWHERE}') AND NOT regexp_matches(path, '{preflight.IGNORED_AT_ROOT}')) b),
 m AS (SELECT repo, count(*) AS files, CAST(sum(coalesce(len(list_filter(string_split_regex(code, '\\r?\\n'), lambda x: trim(replace(x, chr(9), ' ')) <> '')), 0)) AS BIGINT) AS loc, string_agg(DISTINCT family, ', ' ORDER BY family) AS families, count(DISTINCT family) AS n FROM f WHERE family IS NOT NULL GROUP BY repo),
 s AS (SELECT *, CASE WHEN loc <= 10000 THEN 'small' WHEN loc <= 50000 THEN 'medium' WHEN loc <= 150000 THEN 'large' ELSE 'xlarge' END AS band,

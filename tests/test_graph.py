@@ -98,7 +98,7 @@ def test_external_groups(spark):
 def test_name_tokens(spark):
     df = spark.createDataFrame([("api.inventoryClient.getItems",), ("InventoryController.getInventory",), ("",)], "n string")
     assert [sorted(r[0]) for r in df.select(names.tokens(F.col("n"))).collect()] == [["inventory", "items"], ["inventory"], []]
-    assert got(names.overlaps(df, "n", df.withColumnRenamed("n", "m").where("m LIKE 'Inv%'"), "m"), "n", "common") == [("InventoryController.getInventory", 1), ("api.inventoryClient.getItems", 1)]
+    assert got(names.overlaps(df, "n", df.withColumnRenamed("n", "m").where("m LIKE 'Inv%'"), "m"), "n", "m") == [("InventoryController.getInventory", "InventoryController.getInventory"), ("api.inventoryClient.getItems", "InventoryController.getInventory")]
 
 
 def test_dedupe_policies_merge_and_limit(spark):
