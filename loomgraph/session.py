@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -66,8 +67,14 @@ def ship(spark: SparkSession) -> None:
         return
     _SHIPPED.add(app)
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"  # served by the driver, not read from there
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
         for p in sorted(root.rglob("*.py")):
             out.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(archive))
+    place = f"{shared_dir(spark).rstrip('/')}/loomgraph/{app}/loomgraph.zip"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    stream.write(bytearray(packed.getvalue()))
+    stream.close()
+    _WRITTEN.append((spark, place))
+    spark.sparkContext.addPyFile(place)

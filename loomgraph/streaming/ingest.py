@@ -55,6 +55,6 @@ class OrphanStream:
 
 
 def activity(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by tumbling window and type with a watermark for late ones; beyond what the reference has, for dashboards of arrivals."""
+    """Events by tumbling window and type with a watermark for late ones, for dashboards of arrivals."""
     ts = F.col("ts").cast("timestamp")
     return events.withColumn("ts", ts).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
