@@ -18,9 +18,8 @@ on the shingle sets (Jaccard of at least 0.8):
 * texts that are little but literals are *blobs*.
 
 Texts of the same token row are one class before banding, so that a class with a
-third of all files is one row. In a bucket of up to ``BUCKET`` classes all are
-compared; in a larger one each class is compared with some leaders, and those
-unlike them with further leaders, until every class was one or is like one.
+third of all files is one row. All pairs of classes in a bucket are compared,
+those of a bucket of more than ``BUCKET`` classes block by block.
 """
 
 from __future__ import annotations
@@ -186,33 +185,23 @@ def _similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
 def links(classes: DataFrame, threshold: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
     """Verified pairs ``(a, b)``, both ways, of classes ``(cls, set, bands)`` that share a band.
 
-    Buckets of up to ``bucket`` classes give all their pairs; larger ones give
-    stars: a leader (the smallest class not yet like a leader) with all others.
+    All pairs of a bucket are compared. One of more than ``bucket`` classes is
+    cut into blocks of about ``bucket``, each of which meets the whole bucket, so
+    that no task holds all pairs of a hot one; the result is the same.
     """
-    b = materialize(classes.select("cls", F.explode("bands").alias("band")), "bands")
+    b = materialize(classes.select("cls", F.size("set").alias("size"), F.explode("bands").alias("band")), "bands")
     sizes = b.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    sized = materialize(b.join(sizes, "band"), "buckets")
-    small = sized.where(F.col("n") <= bucket).select("band", F.col("cls").alias("a"))
-    pairs = small.join(small.select("band", F.col("a").alias("b")), "band").where("a < b").select("a", "b").distinct()
-    found = [_similar(pairs, classes, threshold)]
-    large = sized.where(F.col("n") > bucket)
-    todo, turn = large, 0
-    while todo.take(1):
-        turn += 1
-        drawn = todo.where(F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("n") / bucket)) == 0).select("band", F.col("cls").alias("b"))
-        lead = drawn.unionByName(todo.groupBy("band").agg(F.min("cls").alias("b"))).distinct()
-        star = materialize(large.join(lead, "band").where("cls <> b").select("band", F.col("cls").alias("a"), "b"), "star")
-        like = materialize(_similar(star.select("a", "b").distinct(), classes, threshold), "like")
-        found.append(like)
-        done = star.join(like, ["a", "b"], "left_semi").select("band", F.col("a").alias("cls")).unionByName(lead.select("band", F.col("b").alias("cls")))
-        todo = materialize(todo.join(done, ["band", "cls"], "left_anti"), "todo")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-
-
-def classify(files: DataFrame) -> DataFrame:
+    sized = materialize(b.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / bucket).cast("int")), "buckets")
+    left = sized.select("band", F.col("cls").alias("a"), F.col("size").alias("_na"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
+    right = sized.select("band", F.col("cls").alias("b"), F.col("size").alias("_nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    # sets whose sizes differ by more than the threshold cannot be alike
+    near = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb"))
+    pairs = left.join(right, ["band", "block"]).where(near).select("a", "b").distinct()
+    out = materialize(_similar(pairs, classes, threshold), "alike")
+    return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def classify(files: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """``(id, generated, minified, vendored, blob, copies_in_repos, family)`` of each distinct text of ``files`` (id, repo, path, code).
 
     Null and empty texts have no row. A row repeated with the same id, repo,
@@ -227,7 +216,7 @@ def classify(files: DataFrame) -> DataFrame:
     big = seen.where(F.col("n") >= LEAST)
     plain = materialize(big.groupBy(F.col("plain").alias("cls")).agg(F.first("plain_set").alias("set"), F.first("plain_bands").alias("bands")), "plain")
     where = materialize(big.select(F.col("plain").alias("cls"), F.coalesce("repo", F.lit("")).alias("repo")).distinct(), "repos")
-    near = links(plain)
+    near = links(plain, bucket=bucket)
     around = near.join(where.select(F.col("cls").alias("b"), "repo"), "b").select(F.col("a").alias("cls"), "repo").unionByName(where).distinct()
     spread = materialize(around.groupBy("cls").agg(F.count("*").alias("repos")), "spread")
 
@@ -236,7 +225,7 @@ def classify(files: DataFrame) -> DataFrame:
     kinds = rep.groupBy(F.col("masked").alias("cls")).agg(F.first("masked_set").alias("set"), F.first("masked_bands").alias("bands"))
     kinds = materialize(kinds, "masked")
     texts = materialize(rep.select(F.col("masked").alias("cls"), "plain").distinct().groupBy("cls").agg(F.count("*").alias("texts")), "kinds")
-    kin = links(kinds).join(texts.select(F.col("cls").alias("b"), "texts"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("texts").alias("near"))
+    kin = links(kinds, bucket=bucket).join(texts.select(F.col("cls").alias("b"), "texts"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("texts").alias("near"))
     family = texts.join(kin, "cls", "left").select(F.col("cls").alias("masked"), (F.col("texts") - 1 + F.coalesce("near", F.lit(0))).alias("family"))
 
     # libraries learnt from what stands in several repositories

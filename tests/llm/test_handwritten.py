@@ -47,3 +47,39 @@ def test_links_are_brute_force_in_small_and_large_buckets(spark):
     assert got == want
     star = {tuple(x) for x in H.links(df, bucket=3).collect()}  # stars: every class is linked within its family
     assert star <= want and {a for a, _ in star} == {a for a, _ in want}
+
+
+def test_large_buckets_give_what_small_ones_give(spark):
+    r = random.Random(9)
+    names = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    line = lambda w: f"int {w} = 5;"
+    lines = [line(w) for w in names]
+    rows = []
+    # near copies within r1 and one in r2, most of them unlike the outer ones: links between members count
+    for k in range(12):
+        own = [line(names[(k * 7 + j) % 60] + "x") for j in range(k % 4)]
+        rows.append((f"c{k}", "r2" if k == 5 else "r1", f"src/c{k}.java", "class K {\n" + "\n".join(own + lines[len(own) :]) + "\n}"))
+    # generated texts whose families are counted
+    rows += [(f"g{i}", f"r{i % 3}", f"src/g{i}.java", generated(r, 20 + i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "id string, repo string, path string, code string")
+    wide = {tuple(x) for x in H.classify(df, bucket=48).collect()}
+    assert {tuple(x) for x in H.classify(df, bucket=3).collect()} == wide
+    import numpy as np
+
+    texts = {k: np.unique(H.shingles(np.array([H._Codes()[t] >> 32 for t in H.tokens(c, p)], np.uint64))) for k, _, p, c in rows if k[0] == "c"}
+    alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = {k: len({q for j, q, _, _ in rows if j in texts and alike(texts[k], texts[j])}) for k in texts}
+    got = {x[0]: x[5] for x in wide}
+    assert {k: got[k] for k in want} == want and max(want.values()) == 2
+
+
+def test_links_of_large_buckets_are_all_pairs(spark):
+    r = random.Random(2)
+    import numpy as np
+
+    base = r.sample(range(10**6), 60)
+    sets = [sorted({*base[k % 4 :], *r.sample(range(10**6), k % 4)}) for k in range(24)]
+    df = spark.createDataFrame([(i, s, H.bands(np.array(s, np.uint64))) for i, s in enumerate(sets)], "cls long, set array<int>, bands array<long>")
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
+    got = [tuple(x) for x in H.links(df, bucket=3).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
