@@ -56,12 +56,18 @@ this throw throws trait true try typeof use val var void when while with yield N
 #: Folders that hold copies of third-party code.
 VENDOR_FOLDERS = r"(?:^|/)(?:vendor|third_party|third-party|thirdparty|3rdparty|node_modules|bower_components|external|deps|site-packages)/(?P<dir>@?[\w.-]+)/|(?:^|/)lib/(?P<lib>[A-Za-z][\w]*)-\d+\.[\w.]+/"
 #: What a generator writes at the top of its output.
-BANNER = r"(?i)^[\s/#*<!;-]*(?:@generated\b|<auto-generated>|auto-?generated (?:file|code|by)\b|(?:this (?:file|code|class) (?:was|is) )?(?:automatically|auto-?) ?generated (?:by|from|file)\b|code generated by .*do not edit|generated (?:from|by) .*(?:do not (?:edit|modify)|changes will be lost)|generated (?:from|by) \S+.*\bon \d{4}|automatisch erzeugt durch .*nicht ändern|généré automatiquement|generado automáticamente|this file is generated)"
+BANNER = r"(?im)^[ \t/#*<!;-]*(?:@generated\b|<auto-generated>|auto-?generated (?:file|code|by)\b|(?:this (?:file|code|class) (?:was|is) )?(?:automatically|auto-?) ?generated (?:by|from|file)\b|code generated by .*do not edit|generated (?:from|by) .*(?:do not (?:edit|modify)|changes will be lost)|generated (?:from|by) \S+.*\bon \d{4}|automatisch erzeugt durch .*nicht ändern|généré automatiquement|generado automáticamente|this file is generated)"
 #: The beginnings of a third-party licence header, with the library's name and version.
-LICENCE = r"(?im)^[\s/#*]*(?P<name>[A-Za-z][\w.-]+) v?\d+\.\d+(?:\.\d+)?(?:\s+-\s+.*licen[cs]e)?\s*$"
+LICENCE = r"(?im)^[ \t/#*!]*(?P<name>[A-Za-z][\w.-]+) v?\d+\.\d+(?:\.\d+)?(?:[ \t]+-[ \t]+.*licen[cs]e)?[ \t\r]*(?:\*/[ \t\r]*)?$"
 MINIFIED_BANNER = r"^\s*/\*!\s"
-
-_BANNER, _LICENCE, _VENDOR = re.compile(BANNER), re.compile(LICENCE), re.compile(VENDOR_FOLDERS)
+#: Words before a number that name a licence or a language, not a library.
+NO_LIBRARY = frozenset("version license licence apache gpl lgpl agpl mpl bsd mit epl cddl gnu python java kotlin php node javascript typescript since release section chapter revision rev copyright".split())
+#: Statements that may stand before a file's header comment, and what a banner says further down.
+PROLOGUE = r"(?:\s*(?:<\?php\b|package\b[^\n]*|import\b[^\n]*|from\b[^\n]*\bimport\b[^\n]*|use\b[^\n]*|namespace\b[^\n]*|declare\b[^\n]*|@file:[^\n]*|[\"']use strict[\"'];?))*\s*"
+FIXED = r"(?i)do not (?:edit|modify)|changes will be lost|nicht ändern|@generated\b|<auto-generated>"
+
+_BANNER, _LICENCE, _VENDOR, _PROLOGUE, _FIXED = re.compile(BANNER), re.compile(LICENCE), re.compile(VENDOR_FOLDERS), re.compile(PROLOGUE), re.compile(FIXED)
+_RIGHTS = re.compile(r"(?i)licen[cs]e|copyright|\(c\)")
 _STRINGS = r'"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
 _TOKENS = {
     "hash": re.compile(r"#[^\n]*|([A-Za-z_]\w*|" + _STRINGS + r"|\d[\w.]*|[^\s#])", re.S),
@@ -101,6 +107,45 @@ def tokens(code: str, path: str) -> list[str]:
     return list(filter(None, _TOKENS[style].findall(code)))
 
 
+def comments(code: str, path: str) -> list[tuple[str, bool]]:
+    """Blocks of comments that begin a line at its first column, and whether only a prologue stands before; a Python module's docstring is one.
+
+    Comments with nothing but white space between them are one block.
+    """
+    style = _STYLE.get(path.rsplit(".", 1)[-1].lower(), "slash")
+    out: list[tuple[str, bool]] = []
+    start = end = -1
+    first, before, leading = True, 0, True
+    for m in _TOKENS[style].finditer(code):
+        t = m.group(1)
+        if t is not None and not (first and style == "hash" and t[:3] in ('"""', "'''")):
+            first = False
+            if start >= 0:
+                out.append((code[start:end], leading))
+                start, before = -1, end
+            continue
+        if start < 0:
+            if m.start() and code[m.start() - 1] != "\n" and (code[code.rfind("\n", 0, m.start()) + 1 : m.start()].strip() or not first):
+                continue
+            leading = leading and _PROLOGUE.fullmatch(code, before, m.start()) is not None
+            start = m.start()
+        end, first = m.end(), first and t is None
+    if start >= 0:
+        out.append((code[start:end], leading))
+    return out
+
+
+def generator_banner(blocks: list[tuple[str, bool]]) -> bool:
+    """A generator's banner begins a line of a leading comment; further down it also tells not to edit."""
+    return any(_BANNER.search(b.replace('"""', "   ").replace("'''", "   ")) and (leading or _FIXED.search(b)) for b, leading in blocks)
+
+
+def header_library(blocks: list[tuple[str, bool]]) -> tuple[str | None, bool]:
+    """The library of a header with name and version, and whether its comment speaks of a licence; one that does goes first."""
+    found = [(m.group("name").lower(), bool(_RIGHTS.search(b))) for b, leading in blocks for m in _LICENCE.finditer(b) if m.group("name").lower() not in NO_LIBRARY and (leading or _RIGHTS.search(b))]
+    return next((f for f in found if f[1]), found[0] if found else (None, False))
+
+
 def shingles(codes: np.ndarray) -> np.ndarray:
     """Codes of five tokens in a row; of a shorter text all of it is the one shingle."""
     with np.errstate(over="ignore"):
@@ -157,18 +202,17 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ms = shingles(masked)
             mset = np.unique(ms)
             ratio = len(mset) / len(ms)
-            head = code[:1500]
             lines = code.count("\n") + 1
             line = len(code) / lines
             longest = max(map(len, code.split("\n")))
-            top = [x for x in head.split("\n")[:12] if x.strip()]
-            lic = _LICENCE.search(head)
+            blocks = comments(code, path or "") if _BANNER.search(code) or _LICENCE.search(code) else []
+            lib, rights = header_library(blocks)
             ven = _VENDOR.search(path or "")
             ps = np.unique(shingles(plain)) if n >= LEAST else np.zeros(0, np.uint64)
             rep = n >= LEAST and ratio < REPETITIVE
             folder = (ven.group("dir") or ven.group("lib")) if ven else None
             rows.append(
-                (key, repo, path, n, lit, signs, ratio, line, any(_BANNER.match(x) for x in top), n >= LEAST and longest > 400 and line > 120 and signs > 0.4 and lit < LITERALS, lic.group("name").lower() if lic else None, bool(lic and re.search(r"(?i)licen[cs]e|copyright|\(c\)", head) and lic.group("name").lower() not in (repo or "").lower()), re.sub(r"-\d[\w.]*$", "", folder).lower() if folder else None)
+                (key, repo, path, n, lit, signs, ratio, line, generator_banner(blocks), n >= LEAST and longest > 400 and line > 120 and signs > 0.4 and lit < LITERALS, lib, rights and lib not in (repo or "").lower(), re.sub(r"-\d[\w.]*$", "", folder).lower() if folder else None)
                 + (_digest(plain), ps.astype(np.uint32).view(np.int32), bands(ps) if len(ps) else None, _digest(mset) if rep else None, mset.astype(np.uint32).view(np.int32) if rep else None, bands(mset) if rep else None)
             )
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_OUT), _OUT)], schema=_OUT)

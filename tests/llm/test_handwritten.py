@@ -83,3 +83,19 @@ def test_links_of_large_buckets_are_all_pairs(spark):
     want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
     got = [tuple(x) for x in H.links(df, bucket=3).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_headers_stand_anywhere_in_the_comments_and_mentions_do_not_count():
+    bsd = "/*\n" + " * Redistribution and use in source and binary forms, with or without change, are permitted.\n" * 30 + " */\n"
+    body = "package a.b;\nimport c.d;\nclass X { int f() { return 1; } }\n"
+    banner = "// Code generated by tool. DO NOT EDIT.\n"
+    lib = "/*!\n * libz v2.3.1\n * Released under the MIT license\n */\n"
+    at = lambda code, path="X.java": (H.generator_banner(H.comments(code, path)), H.header_library(H.comments(code, path)))
+    assert at(bsd + banner + body)[0] and at("package a.b;\nimport c.d;\n" + bsd + "// Generated by tool on 2024-01-01\nclass X {}")[0] and at(body * 80 + banner)[0]
+    assert at(bsd + lib + body)[1] == at(body * 80 + lib + body, "a.js")[1] == ("libz", True)
+    assert at("#!/bin/x\n" + "# licence text\n" * 20 + "# Generated by tool on 2024-01-01\nx = 1\n", "a.py")[0]
+    # within strings, behind code, of a part of the file only, or names of licences and languages
+    assert not at(body + 'String s = `\n' + banner + '`;\n', "a.js")[0] and not at(body + "// generated by the build on 2024-01-01\nclass Y {}\n")[0]
+    assert not at("class X {\n  // Code generated by tool. DO NOT EDIT.\n}\n")[0]
+    assert at("/*\n * GNU licence\n * version 3.0\n * Python 3.11\n */\n" + body)[1] == (None, False)
+    assert at(body + "// libz 2.3\nclass Y {}\n")[1] == (None, False)
