@@ -15,7 +15,10 @@ on the shingle sets (Jaccard of at least 0.8):
   paths, so that a library's file with no second copy is known as well; so is a
   licence header with the name and version of a library that is not the
   repository's own;
-* texts that are little but literals are *blobs*.
+* texts that are little but literals, by tokens or at any size by characters, are *blobs*.
+
+Copies of equal token rows count at every size; only texts without a token
+(comments, white space, a PHP opening tag) have no content to be copied.
 
 Texts of the same token row are one class before banding, so that a class with a
 third of all files is one row. All pairs of classes in a bucket are compared,
@@ -43,8 +46,10 @@ BUCKET = 48
 REPETITIVE, LITERALS, SIGNS = 0.25, 0.3, 0.25
 #: Least files of a place, and their share, that stand in several repositories, to make it a library's.
 PLACE_FILES, PLACE_SHARE = 3, 0.8
-#: Least tokens of a text that is compared.
-LEAST = 30
+#: Least tokens of a text whose likeness (not identity) is compared, and of a blob by its share of literal tokens.
+LEAST, LEAST_BLOB = 30, 20
+#: Share of a blob's characters, without white space and comments, that lie in literals; holds at any size.
+LITERAL_CHARS = 0.9
 
 #: Words of the six languages that masking keeps.
 KEYWORDS = frozenset(
@@ -175,9 +180,9 @@ def bands(distinct: np.ndarray) -> list[int]:
 
 
 _OUT = pa.schema(
-    [("id", pa.string()), ("repo", pa.string()), ("path", pa.string()), ("n", pa.int32()), ("literals", pa.float64()), ("signs", pa.float64()), ("distinct", pa.float64()), ("line", pa.float64()), ("banner", pa.bool_()), ("minified", pa.bool_()), ("library", pa.string()), ("licensed", pa.bool_()), ("folder", pa.string()), ("plain", pa.int64()), ("plain_set", pa.list_(pa.int32())), ("plain_bands", pa.list_(pa.int64())), ("masked", pa.int64()), ("masked_set", pa.list_(pa.int32())), ("masked_bands", pa.list_(pa.int64()))]
+    [("id", pa.string()), ("repo", pa.string()), ("path", pa.string()), ("n", pa.int32()), ("literals", pa.float64()), ("literal_chars", pa.float64()), ("signs", pa.float64()), ("distinct", pa.float64()), ("line", pa.float64()), ("banner", pa.bool_()), ("minified", pa.bool_()), ("library", pa.string()), ("licensed", pa.bool_()), ("folder", pa.string()), ("plain", pa.int64()), ("plain_set", pa.list_(pa.int32())), ("plain_bands", pa.list_(pa.int64())), ("masked", pa.int64()), ("masked_set", pa.list_(pa.int32())), ("masked_bands", pa.list_(pa.int64()))]
 )
-_DDL = "id string, repo string, path string, n int, literals double, signs double, distinct double, line double, banner boolean, minified boolean, library string, licensed boolean, folder string, plain long, plain_set array<int>, plain_bands array<long>, masked long, masked_set array<int>, masked_bands array<long>"
+_DDL = "id string, repo string, path string, n int, literals double, literal_chars double, signs double, distinct double, line double, banner boolean, minified boolean, library string, licensed boolean, folder string, plain long, plain_set array<int>, plain_bands array<long>, masked long, masked_set array<int>, masked_bands array<long>"
 
 
 def _digest(a: np.ndarray) -> int:
@@ -198,6 +203,9 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(toks)
             plain, masked, kinds = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF), both & np.uint64(3)
             lit = float((kinds == 1).mean()) if n else 0.0
+            doc = n and toks[0][:3] in ('"""', "'''")  # a module's docstring is documentation
+            chars = [len(t) for t in toks[1 if doc else 0 :]]
+            lit_chars = sum(c for c, k in zip(chars, kinds[1 if doc else 0 :].tolist()) if k == 1) / sum(chars) if chars else 0.0
             signs = float((kinds == 2).mean()) if n else 0.0
             ms = shingles(masked)
             mset = np.unique(ms)
@@ -212,8 +220,8 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rep = n >= LEAST and ratio < REPETITIVE
             folder = (ven.group("dir") or ven.group("lib")) if ven else None
             rows.append(
-                (key, repo, path, n, lit, signs, ratio, line, generator_banner(blocks), n >= LEAST and longest > 400 and line > 120 and signs > 0.4 and lit < LITERALS, lib, rights and lib not in (repo or "").lower(), re.sub(r"-\d[\w.]*$", "", folder).lower() if folder else None)
-                + (_digest(plain), ps.astype(np.uint32).view(np.int32), bands(ps) if len(ps) else None, _digest(mset) if rep else None, mset.astype(np.uint32).view(np.int32) if rep else None, bands(mset) if rep else None)
+                (key, repo, path, n, lit, lit_chars, signs, ratio, line, generator_banner(blocks), n >= LEAST and longest > 400 and line > 120 and signs > 0.4 and lit < LITERALS, lib, rights and lib not in (repo or "").lower(), re.sub(r"-\d[\w.]*$", "", folder).lower() if folder else None)
+                + (None if toks in ([], ["<", "?", "php"]) else _digest(plain), ps.astype(np.uint32).view(np.int32), bands(ps) if len(ps) else None, _digest(mset) if rep else None, mset.astype(np.uint32).view(np.int32) if rep else None, bands(mset) if rep else None)
             )
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_OUT), _OUT)], schema=_OUT)
 
@@ -257,9 +265,9 @@ def classify(files: DataFrame, bucket: int = BUCKET) -> DataFrame:
     seen = materialize(src.mapInArrow(describe, _DDL), "texts")
 
     # content: classes by token row, the repositories of each and of those like it
-    big = seen.where(F.col("n") >= LEAST)
-    plain = materialize(big.groupBy(F.col("plain").alias("cls")).agg(F.first("plain_set").alias("set"), F.first("plain_bands").alias("bands")), "plain")
-    where = materialize(big.select(F.col("plain").alias("cls"), F.coalesce("repo", F.lit("")).alias("repo")).distinct(), "repos")
+    some = seen.where(F.col("plain").isNotNull())
+    plain = materialize(some.where(F.col("n") >= LEAST).groupBy(F.col("plain").alias("cls")).agg(F.first("plain_set").alias("set"), F.first("plain_bands").alias("bands")), "plain")
+    where = materialize(some.select(F.col("plain").alias("cls"), F.coalesce("repo", F.lit("")).alias("repo")).distinct(), "repos")
     near = links(plain, bucket=bucket)
     around = near.join(where.select(F.col("cls").alias("b"), "repo"), "b").select(F.col("a").alias("cls"), "repo").unionByName(where).distinct()
     spread = materialize(around.groupBy("cls").agg(F.count("*").alias("repos")), "spread")
@@ -287,7 +295,7 @@ def classify(files: DataFrame, bucket: int = BUCKET) -> DataFrame:
     code = (F.col("signs") >= SIGNS) & (F.col("n") >= 12)
     out = seen.drop("plain_set", "plain_bands", "masked_set", "masked_bands").join(spread.withColumnRenamed("cls", "plain"), "plain", "left").join(family, "masked", "left")
     out = out.join(names.select("library", F.lit(True).alias("_by_header")), "library", "left").join(names.select(F.col("library").alias("folder"), F.lit(True).alias("_by_folder")), "folder", "left").join(there, "id", "left")
-    blob = (F.col("literals") >= LITERALS) & (F.col("n") >= 20)
+    blob = (F.col("literals") >= LITERALS) & (F.col("n") >= LEAST_BLOB) | (F.col("literal_chars") >= LITERAL_CHARS)
     repeats = F.col("masked").isNotNull() & code & ~blob
     family_ = F.coalesce("family", F.lit(0))
     generated = (repeats & ((family_ > 0) | (F.col("distinct") < 0.6 * REPETITIVE))) | F.col("banner")

@@ -99,3 +99,13 @@ def test_headers_stand_anywhere_in_the_comments_and_mentions_do_not_count():
     assert not at("class X {\n  // Code generated by tool. DO NOT EDIT.\n}\n")[0]
     assert at("/*\n * GNU licence\n * version 3.0\n * Python 3.11\n */\n" + body)[1] == (None, False)
     assert at(body + "// libz 2.3\nclass Y {}\n")[1] == (None, False)
+
+
+def test_small_copies_and_blobs_of_one_literal(spark):
+    small = "package q;\nclass Wq { int go() { return 42; } }\n"
+    rows = [("s1", "r1", "a/Wq.java", small), ("s2", "r2", "b/Wq.java", "// own\n" + small), ("o1", "r3", "c/V.java", small.replace("42", "43"))]
+    rows += [(f"e{i}", f"r{i}", f"e{i}.{x}", c) for i, (x, c) in enumerate([("js", "\n"), ("js", "// a note\n"), ("php", "<?php\n"), ("php", "<?php\n// x\n")])]
+    rows += [("b1", "r1", "data.ts", 'export const DATA = "' + "Qx7" * 30_000 + '";\n'), ("d1", "r1", "doc.py", '"""' + "What this package is for. " * 20 + '"""\n'), ("c1", "r1", "v.py", '__version__ = "1.2.3"\n')]
+    got = {x.id: x for x in H.classify(spark.createDataFrame(rows, "id string, repo string, path string, code string")).collect()}
+    assert {k for k, v in got.items() if v.copies_in_repos == 2} == {k for k, v in got.items() if v.vendored} == {"s1", "s2"}
+    assert {k for k, v in got.items() if v.blob} == {"b1"} and len(got) == len(rows)
