@@ -99,12 +99,18 @@ def get_domains(spark: SparkSession, d: str) -> DataFrame:
 
 
 def domain_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members after four rounds, as the SQL of this name unrolls them; ``domain_members_full`` has the domains of ``get_domains``."""
     return passes.domains(G.load(spark, d), 4).members
 
 
+def domain_members_full(spark: SparkSession, d: str) -> DataFrame:
+    """Members of the domains that ``get_domains`` lists, over all its rounds."""
+    return passes.domains(G.load(spark, d)).members
+
+
 QUERIES = {
     "get_dependency_graph": dependency_graph, "impact_analysis__callers": impact, "impact_analysis__descendants": descendants, "get_hotspots__inheritance": inheritance, "get_exception_handling__hierarchy": exceptions, "find_path_between": find_path, "get_call_chain": call_chain, "trace_user_flow__calls": user_flow, "trace_user_flow__exceptions": user_flow_exceptions,
-    "get_workflows": get_workflows, "get_workflow_steps": get_workflow_steps, "get_workflows__http": http_workflows, "get_domains": get_domains, "get_domains__members": domain_members,
+    "get_workflows": get_workflows, "get_workflow_steps": get_workflow_steps, "get_workflows__http": http_workflows, "get_domains": get_domains, "get_domains__members": domain_members, "get_domains__members_full": domain_members_full,
 }
 
 

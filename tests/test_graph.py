@@ -1,6 +1,7 @@
 """Hand graphs with answers worked out by hand, in batch, through Cypher and through files and streams."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from loomgraph import graph as G
 from loomgraph.cypher import CypherError, query
 from loomgraph.functions import names
 from loomgraph.operators import passes, paths, preflight, tools
+from loomgraph.plans import flows
 from loomgraph.sources import graph_json
 from loomgraph.streaming import ingest
 
@@ -89,6 +91,24 @@ def test_domains_and_cohesion(spark):
     assert got(d.members, "id", "domain") == [("p.one.a", "p.one.a"), ("p.one.b", "p.one.a"), ("p.two.x", "p.two.x"), ("p.two.y", "p.two.x")]
 
 
+def test_members_over_all_rounds_fit_the_domains(spark, monkeypatch):
+    ids = [f"p.n{i:02}" for i in range(12)]
+    g = make(spark, [(x, "Method") for x in ids], [(a, "CALLS", b, 0.95) for a, b in zip(ids, ids[1:])])
+    monkeypatch.setattr(flows.G, "load", lambda *_: g)
+
+    def labels(rounds):
+        at = {x: x for x in ids}
+        for _ in range(rounds):
+            votes = {x: Counter([at[x], *(at[y] for j, y in enumerate(ids) if abs(i - j) == 1)]) for i, x in enumerate(ids)}
+            at = {x: min(v, key=lambda k: (-v[k], k)) for x, v in votes.items()}
+        return at
+
+    full = dict(got(flows.QUERIES["get_domains__members_full"](spark, ""), "id", "domain"))
+    assert full == labels(10) != labels(4) and dict(got(flows.domain_members(spark, ""), "id", "domain")) == labels(4)
+    sizes = dict(got(flows.get_domains(spark, ""), "domain", "members"))
+    assert sizes == Counter(full.values())
+
+
 def test_external_groups(spark):
     g = make(spark, [(x, "Class") for x in ("java.util.List", "java.util.Map", "org.x.y.z.T", "Foo")], [("Foo", "CALLS", "Foo")])
     g = G.Graph(g.nodes.withColumn("external", F.lit(True)), g.edges)
