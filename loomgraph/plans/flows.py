@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import graph as G
 from loomgraph.operators import passes, paths
+from loomgraph.operators.tools import BOUNDARY
 from loomgraph.plans.tools import oracle
 
 DEPENDS = ["CALLS", "EXTENDS", "IMPLEMENTS", "OF_TYPE"]
@@ -74,6 +75,44 @@ def user_flow_exceptions(spark: SparkSession, d: str) -> DataFrame:
     return reach.join(throws, "node").select("start", "exception", F.col("node").alias("thrown_by")).distinct()
 
 
+# The queries above answer for the ends and depths of their SQL; those below for all nodes, over the tools' default depths.
+
+
+def find_path_full(spark: SparkSession, d: str) -> DataFrame:
+    g = G.load(spark, d)
+    return paths.shortest_paths(g, g.nodes, g.nodes).select("source", "target", F.array_join("path", " > ").alias("path"), "length")
+
+
+def call_chain_full(spark: SparkSession, d: str) -> DataFrame:
+    g = G.load(spark, d)
+    return paths.call_chains(g, g.nodes, g.nodes).select("start", F.col("end").alias("finish"), F.array_join("path", " > ").alias("path"), "depth")
+
+
+def user_flow_full(spark: SparkSession, d: str, depth: int = 5) -> DataFrame:
+    g = G.load(spark, d)
+    return _named(g, paths.expand(g, ["CALLS"], depth), "start", "node").select(F.col("start_qn").alias("entry"), F.col("node_qn").alias("called_method"), F.col("node_type").alias("type"), F.col("distance").alias("depth"))
+
+
+def user_flow_exceptions_full(spark: SparkSession, d: str, depth: int = 5) -> DataFrame:
+    g = G.load(spark, d)
+    throws = g.edges.where("type = 'THROWS'").select(F.col("src").alias("node"), F.col("dst").alias("exception")).distinct()
+    return paths.expand(g, ["CALLS"], depth, 0).join(throws, "node").select("start", "exception", F.col("node").alias("thrown_by")).distinct()
+
+
+def user_flow_boundaries_full(spark: SparkSession, d: str, depth: int = 5) -> DataFrame:
+    """Repositories, clients and the like that a node reaches over up to ``depth`` calls."""
+    g = G.load(spark, d)
+    pairs = _named(g, paths.expand(g, ["CALLS"], depth).select("start", "node").distinct(), "start", "node")
+    return pairs.where(F.col("node_qn").rlike(f"(?i)({BOUNDARY})")).select(F.col("start_qn").alias("method"), F.col("node_qn").alias("boundary"), F.col("node_type").alias("type")).distinct()
+
+
+def user_flow_files(spark: SparkSession, d: str, depth: int = 5) -> DataFrame:
+    """Source files of a node and of all it reaches over up to ``depth`` calls."""
+    g = G.load(spark, d)
+    files = g.edges.where("type = 'SOURCE_FILE'").join(g.nodes.where("label = 'File' AND path IS NOT NULL").select(F.col("id").alias("dst"), F.col("path").alias("file_path")), "dst").select(F.col("src").alias("node"), "file_path").distinct()
+    return paths.expand(g, ["CALLS"], depth, 0).join(files, "node").select("start", "file_path").distinct()
+
+
 def _entries(g: G.Graph) -> DataFrame:
     return _ends(g)[0]
 
@@ -111,6 +150,7 @@ def domain_members_full(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "get_dependency_graph": dependency_graph, "impact_analysis__callers": impact, "impact_analysis__descendants": descendants, "get_hotspots__inheritance": inheritance, "get_exception_handling__hierarchy": exceptions, "find_path_between": find_path, "get_call_chain": call_chain, "trace_user_flow__calls": user_flow, "trace_user_flow__exceptions": user_flow_exceptions,
     "get_workflows": get_workflows, "get_workflow_steps": get_workflow_steps, "get_workflows__http": http_workflows, "get_domains": get_domains, "get_domains__members": domain_members, "get_domains__members_full": domain_members_full,
+    "find_path_between__full": find_path_full, "get_call_chain__full": call_chain_full, "trace_user_flow__calls_full": user_flow_full, "trace_user_flow__exceptions_full": user_flow_exceptions_full, "trace_user_flow__boundaries_full": user_flow_boundaries_full, "trace_user_flow__files": user_flow_files,
 }
 
 

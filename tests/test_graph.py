@@ -109,6 +109,22 @@ def test_members_over_all_rounds_fit_the_domains(spark, monkeypatch):
     assert sizes == Counter(full.values())
 
 
+def test_flows_of_all_nodes_over_the_default_depths(spark, monkeypatch):
+    ids = ["x.a", "x.b", "x.c", "x.d", "x.e", "x.UserClient.f", "x.g", "x.h", "x.i", "x.j"]
+    g = make(spark, [(x, "Method") for x in ids] + [("E", "Class"), ("src/f", "File")], [(a, "CALLS", b, 0.95) for a, b in zip(ids, ids[1:])] + [("x.UserClient.f", "THROWS", "E"), ("x.UserClient.f", "SOURCE_FILE", "src/f")])
+    g = G.Graph(g.nodes.withColumn("path", F.when(F.col("label") == "File", F.col("id"))), g.edges)
+    monkeypatch.setattr(flows.G, "load", lambda *_: g)
+    run = lambda name, *cols: got(flows.QUERIES[name](spark, ""), *cols)
+    far = lambda lo, hi: sorted((a, b, j - i) for i, a in enumerate(ids) for j, b in enumerate(ids) if lo <= j - i <= hi)
+    assert run("trace_user_flow__calls_full", "entry", "called_method", "depth") == far(1, 5)
+    assert run("get_call_chain__full", "start", "finish", "depth") == far(1, 8)
+    extra = [(a, b, 5 - i + 1) for i, a in enumerate(ids[:6]) for b in ("E", "src/f") if 5 - i + 1 <= 6]
+    assert run("find_path_between__full", "source", "target", "length") == sorted(far(1, 6) + extra)
+    assert run("trace_user_flow__exceptions_full", "start", "exception") == sorted((a, "E") for a in ids[:6])
+    assert run("trace_user_flow__boundaries_full", "method", "boundary") == sorted((a, ids[5]) for a in ids[:5])
+    assert run("trace_user_flow__files", "start", "file_path") == sorted((a, "src/f") for a in ids[:6])
+
+
 def test_external_groups(spark):
     g = make(spark, [(x, "Class") for x in ("java.util.List", "java.util.Map", "org.x.y.z.T", "Foo")], [("Foo", "CALLS", "Foo")])
     g = G.Graph(g.nodes.withColumn("external", F.lit(True)), g.edges)
