@@ -14,8 +14,6 @@ import re
 
 OPEN = {"(": ")", "[": "]", "{": "}"}
 SHUT = frozenset(OPEN.values())
-#: Errors stored of one text before parsing of it ends; the text counts as broken from the first on.
-MOST_ERRORS = 200
 
 
 class Broken(Exception):
@@ -35,6 +33,7 @@ class Parser:
     def __init__(self, code: str, shift: int = 0):
         self.code, self.k, self.p, self.nl = code, [], [], []
         self.errors: list[tuple[int, str]] = []
+        self.ends: list[int] | None = None
         self.i = 0
         self.shift = shift
         self.lex()
@@ -69,13 +68,13 @@ class Parser:
 
     # -- errors
     def line(self, at: int) -> int:
+        if self.ends is None:  # counted once, as a text may have very many errors
+            self.ends = [m.start() for m in re.finditer("\n", self.code)]
         pos = self.p[min(at, len(self.p) - 1)]
-        return self.code.count("\n", 0, pos) + 1 + self.shift
+        return bisect.bisect_left(self.ends, pos) + 1 + self.shift
 
     def note(self, e: Broken) -> None:
         self.errors.append((self.line(e.at), e.message))
-        if len(self.errors) >= MOST_ERRORS:
-            raise End("too many errors", e.at)
 
     def items(self, parse, end: str) -> None:
         """Statements or members up to ``end``, which is taken; errors are noted and skipped."""

@@ -251,3 +251,11 @@ def test_python_agrees_with_the_interpreter():
             except (SyntaxError, ValueError):
                 ok = False
             assert (Python(t).run() == []) == ok, f
+
+
+@pytest.mark.parametrize("path,bad", [("A.java", "void f{i}() {{ int x = ; }}"), ("a.js", "let x{i} = ;"), ("a.ts", "let x{i} = ;"), ("a.kt", "val x{i} = )"), ("a.php", "$x{i} = ;"), ("a.py", "x{i} = )")])
+def test_all_errors_of_a_text_with_very_many(path, bad):
+    lines = [bad.format(i=i) for i in range(1000)]
+    head, tail = {"A.java": ("class A {", "}"), "a.php": ("<?php", "")}.get(path, ("", ""))
+    errors = check("\n".join([head, *lines, tail]), path)
+    assert {n for n, _ in errors} >= set(range(2, 1002)) and not any("too many" in m for _, m in errors)
