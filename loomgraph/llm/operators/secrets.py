@@ -11,6 +11,7 @@ of the value, so that quotes, offsets and line numbers stay.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -57,6 +58,13 @@ _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _SIGNS = re.compile(r"[!@#%&^*~?]")
 #: a lookup with its name, before an operator that gives a default
 _LOOKED_UP = re.compile(r"(?:\b(?:getenv|env|get|config|getProperty)\s*\(\s*[\"'](\w+)[\"'][^()]*\)|\b(?:environ|ENV|_ENV|_SERVER|env)\s*\[\s*[\"'](\w+)[\"']\s*\]|\bprocess\.env\.(\w+))\s*(?:\?\?|\|\||\?:|\bor\b)\s*$")
+#: the end of a line that goes on with its value: an assignment, a bracket behind one, a default, an argument after a literal
+_GOES_ON = re.compile(r"(?:(?<![=!<>])=|=>|:|[=:]\s*\(|\?\?|\|\||\?:|\bor|\(\s*(?:[^()\"'`]*,\s*)?" + _LITERAL + r"\s*,)\s*$")
+_BLOCK_HEAD = re.compile(r"\s*(?:async\s+)?(?:class|def|if|else|elif|for|while|try|with|switch|case|default|except|finally|match)\b")
+_BRACKET = re.compile(r"(?<=[=:])\s*\(\s*$")
+#: comments and literals over lines; the other alternatives are passed over
+_REGIONS = re.compile(r"(\"\"\".*?\"\"\"|'''.*?'''|/\*.*?\*/|<!--.*?-->|<<<[ \t]*[\"']?(?P<doc>[A-Za-z_]\w*)[\"']?\n.*?\n[ \t]*(?P=doc)\b|`(?:\\.|[^`\\])*`)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*", re.S)
+_KEY_LINE = re.compile(r"[\s/#*\"'`+.;,>\\-]*(?:[A-Za-z0-9+/=_-]+(?:\\n)?)?[\s\"'`+.;,\\]*")
 _PLAIN = re.compile(r"[a-z]+(?:[-/._ ][a-z]+)*")
 
 
@@ -129,13 +137,28 @@ class Finder:
         for m in _KNOWN.finditer(code) if ("eyJ" in code or "_" in code or "AKIA" in code or "AIza" in code or "xox" in code or "glpat" in code) else ():
             if not placeholder(m.group()):
                 out.append(Found(m.start(), m.end(), "known"))
-        done = -1
+        done, within = -1, None
         for m in _HOT.finditer(code):
             if m.start() < done:
                 continue
             lo = code.rfind("\n", 0, m.start()) + 1
             hi = code.find("\n", m.start())
             hi = done = len(code) if hi < 0 else hi
+            if not _COMMENT.match(code, lo, hi):
+                if within is None:
+                    within = [(r.start(1), r.end(1)) for r in _REGIONS.finditer(code) if r.group(1) and "\n" in r.group(1)]
+                k = bisect.bisect_right(within, (m.start(), len(code))) - 1
+                if k >= 0 and m.start() < within[k][1]:
+                    a, b = max(lo, within[k][0]), min(hi, within[k][1])
+                    out.extend(self._loose(code[a:b], a))
+                # a value on the next lines belongs to this one
+                while hi < len(code) and _GOES_ON.search(code, max(lo, hi - 400), hi) and not _BLOCK_HEAD.match(code, lo, hi):
+                    hi = code.find("\n", hi + 1)
+                    hi = len(code) if hi < 0 else hi
+                    lines = code[lo:hi]
+                    if lines.rsplit("\n", 1)[-1].strip() and not _GOES_ON.search(lines, max(0, len(lines) - 400)):
+                        break
+                done = max(done, code.rfind("\n", 0, hi)) if hi > done else done
             out.extend(self._line(code, lo, hi))
         out.sort(key=lambda f: (f.start, -f.end))
         kept: list[Found] = []
@@ -147,7 +170,7 @@ class Finder:
     def _blocks(self, code: str) -> Iterator[Found]:
         for m in _BEGIN.finditer(code):
             end = _END.search(code, m.end())
-            stop = end.start() if end else min(len(code), m.end() + 4000)
+            stop = end.start() if end else self._key_end(code, m.end())
             body = code[m.end() : stop]
             cut = re.search(r"\n\s*\n|-----BEGIN", body)
             if cut and not end:
@@ -155,12 +178,26 @@ class Finder:
             if sum(len(b) for b in _BODY.findall(body) if len(set(b)) > 2) >= 16:
                 yield Found(m.start(), end.end() if end else m.end() + len(body), "block")
 
+    def _key_end(self, code: str, at: int) -> int:
+        """The end of a key block without its last line: 4000 characters, and on while lines are key text."""
+        stop = min(len(code), at + 4000)
+        while stop < len(code):
+            hi = code.find("\n", stop)
+            hi = len(code) if hi < 0 else hi
+            lo = code.rfind("\n", at, stop) + 1 or at
+            if not _KEY_LINE.fullmatch(code, lo, hi):
+                break
+            stop = min(len(code), hi + 1)
+            if hi == len(code) or not code[stop : code.find("\n", stop) if code.find("\n", stop) >= 0 else len(code)].strip():
+                break
+        return stop
+
     def _line(self, code: str, lo: int, hi: int) -> Iterator[Found]:
         line = code[lo:hi]
         at = 0
         while s := _STRING.search(line, at):
             at = s.end()
-            before = line[: s.start()]
+            before = _BRACKET.sub(" ", line[: s.start()])
             kind, scheme = self._context(before, line, s)
             # a literal with more to it behind + or . goes on, also over lines
             whole = _JOINED.match(code, lo + s.start())
@@ -177,6 +214,7 @@ class Finder:
             yield from self._inside(value if len(parts) == 1 else s.group().lstrip("rbuf")[1:-1], first)
         mark = _COMMENT.match(line)
         if mark:
+            line = line.split("\n", 1)[0]
             yield from self._loose(line[mark.end() :], lo + mark.end())
             for m in _SPACED.finditer(line, mark.end()):
                 if name_kind(m.group(1)) and self.token(m.group(2)):
