@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.operators import handwritten, invalid, leak, mixture, secrets, spam
 from loomgraph.schema import table
-from loomgraph.session import materialize
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,9 +22,7 @@ def p7_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    sizes = materialize(mixture.measured(table(spark, d, "documents"), targets).groupBy("source").agg(F.sum("tokens").alias("tokens")), "sizes")
-    return mixture.shares(sizes, targets).where("short").select("source")
+    return p8_shares(spark, d).where("short").select("source")
 
 
 def p8_taken(spark: SparkSession, d: str) -> DataFrame:

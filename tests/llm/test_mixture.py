@@ -56,3 +56,13 @@ def test_empty(spark):
     docs, targets = frames(spark)
     taken, report = mixture.mix(docs.where("false"), targets)
     assert taken.count() == 0 and {r.taken_tokens for r in report.collect()} == {0}
+
+
+def test_p8_found_takes_the_way_of_the_histograms(spark, monkeypatch):
+    from loomgraph.llm import plans
+
+    tables = {"documents": spark.createDataFrame([(f"a{i}", "A", "one two three " * 9) for i in range(20)] + [("b0", "b", "one two")], "doc_id string, source string, text string"), "mix_targets": spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")}
+    monkeypatch.setattr(plans, "table", lambda _, __, name: tables[name])
+    asked, real = [], mixture.thresholds
+    monkeypatch.setattr(mixture, "thresholds", lambda sizes, wanted, *a: asked.append(wanted) or real(sizes, wanted, *a))
+    assert [r.source for r in plans.p8_found(spark, "").collect()] == ["b"] and len(asked) == 1 and set(asked[0]) == {"a", "b"}
