@@ -1,28 +1,25 @@
 """Generated, minified or vendored source files and data blobs: what is left is hand-written.
 
 Each text becomes a row of tokens without comments. Shingles are five tokens in
-a row, once with identifiers and literals masked (structure), once as they
-stand (content). MinHash bands over either find candidates, which are verified
-on the shingle sets (Jaccard of at least 0.8):
-
-* structure, among texts whose structure repeats itself: families of texts with
-  other identifiers are *generated* (or minified, where lines are endless); the
-  structure of hand-written code is too alike (0.4 on average between any two
-  files here) to be banded without comparing nearly all pairs, and such files
-  are no family anyway;
-* content, among all: the same content in two repositories is *vendored*. The
-  library a cluster belongs to is learnt from its members' licence headers and
-  paths, so that a library's file with no second copy is known as well; so is a
-  licence header with the name and version of a library that is not the
-  repository's own;
-* texts that are little but literals, by tokens or at any size by characters, are *blobs*.
-
-Copies of equal token rows count at every size; only texts without a token
-(comments, white space, a PHP opening tag) have no content to be copied.
-
-Texts of the same token row are one class before banding, so that a class with a
-third of all files is one row. All pairs of classes in a bucket are compared,
-those of a bucket of more than ``BUCKET`` classes block by block.
+a row, with identifiers and literals masked (structure) and as they stand
+(content). Texts of the same set are one class; MinHash bands find candidates
+among all classes, which are verified on the sets (Jaccard of at least 0.8), and
+the verified links make clusters (connected components):
+
+* structure, all texts: a cluster that holds several texts of different content
+  within one repository is a family of *generated* files (*minified*, where lines
+  are endless). As an exact check, only members whose structure repeats itself
+  count: short hand-written files are alike by chance;
+* content, all texts: a cluster over several repositories is *vendored*. The
+  libraries and folders of such clusters are learnt, so that a library's file
+  with no second copy is known as well, and its whole cluster with it;
+* literal-only: texts that are little but literals are clustered by those of
+  their shingles that hold nothing but literals and signs; a cluster of several
+  texts is of *blobs*.
+
+``rules`` add evidence for texts that stand in no cluster: a generator's banner,
+a licence header with the name and version of a library that is not the
+repository's own, endless lines, a blob without a second of its kind.
 """
 
 from __future__ import annotations
@@ -30,23 +27,29 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.operators.clusters import clusters
 from loomgraph.session import materialize
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Two texts of similarity 0.8 share none of the bands with probability (1 - 0.8**7)**32 = 0.0005, of 0.3 one with 0.007.
-BANDS, ROWS = 32, 7
+#: Bands and rows of structure, then of content. Two sets of similarity 0.8 share no band with probability
+#: (1 - 0.8**8)**40 = 0.0006 and (1 - 0.8**5)**20 = 0.0004; hand-written files have 0.44 in structure (one band with 0.05) and 0.02 in content.
+STRUCTURE, CONTENT = (40, 8), (20, 5)
+#: Classes of a bucket that meet in one block.
 BUCKET = 48
+#: 64-bit words of a sketch.
+SKETCH = 4
 #: Share of distinct shingles in all of a structure that repeats itself; of literals in a blob's tokens; of signs in code's.
 REPETITIVE, LITERALS, SIGNS = 0.25, 0.3, 0.25
 #: Least files of a place, and their share, that stand in several repositories, to make it a library's.
 PLACE_FILES, PLACE_SHARE = 3, 0.8
-#: Least tokens of a text whose likeness (not identity) is compared, and of a blob by its share of literal tokens.
+#: Least tokens of a minified text, and of a blob by its share of literal tokens.
 LEAST, LEAST_BLOB = 30, 20
 #: Share of a blob's characters, without white space and comments, that lie in literals; holds at any size.
 LITERAL_CHARS = 0.9
@@ -72,6 +75,8 @@ PROLOGUE = r"(?:\s*(?:<\?php\b|package\b[^\n]*|import\b[^\n]*|from\b[^\n]*\bimpo
 FIXED = r"(?i)do not (?:edit|modify)|changes will be lost|nicht ändern|@generated\b|<auto-generated>"
 
 _BANNER, _LICENCE, _VENDOR, _PROLOGUE, _FIXED = re.compile(BANNER), re.compile(LICENCE), re.compile(VENDOR_FOLDERS), re.compile(PROLOGUE), re.compile(FIXED)
+#: any banner has one of these
+_GENERATED = ("generated", "erzeugt", "généré", "generado")
 _RIGHTS = re.compile(r"(?i)licen[cs]e|copyright|\(c\)")
 _STRINGS = r'"""(?:[^"\\]|\\.|"(?!""))*"""|\'\'\'(?:[^\'\\]|\\.|\'(?!\'\'))*\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
 _TOKENS = {
@@ -82,8 +87,8 @@ _TOKENS = {
 _STYLE = {"py": "hash", "pyi": "hash", "php": "both"}
 
 _RNG = np.random.RandomState(20_011)
-_MUL = (_RNG.randint(1, 1 << 31, BANDS * ROWS).astype(np.uint32) << np.uint32(1) | np.uint32(1))[:, None]
-_ADD = _RNG.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
+#: Odd factors of the rows and bands of a key.
+_ROW, _BAND = (_RNG.randint(1 << 61, 1 << 62, k).astype(np.uint64) * np.uint64(2) + np.uint64(1) for k in (64, 512))
 
 
 class _Codes(dict):
@@ -162,33 +167,88 @@ def shingles(codes: np.ndarray) -> np.ndarray:
         return out >> np.uint64(32)
 
 
-def bands(distinct: np.ndarray) -> list[int]:
-    """One 64-bit key a band: the minima of its hash functions."""
+def minima(distinct: np.ndarray, t: int) -> np.ndarray:
+    """``t`` MinHash values of a set, each equal for two sets with the probability of their similarity.
+
+    Fast similarity sketching (Dahlgaard, Knudsen, Thorup 2017): in each round a
+    hash of its own throws all elements into ``t`` places; a place keeps the
+    first round that hits it and the least hash of that round. That takes some
+    t * ln(t) hashes a set in place of t times its size.
+    """
+    x = distinct.astype(np.uint64)
+    out, empty, low = np.zeros(t, np.uint64), np.ones(t, bool), 0
+    rounds = min(4096, int(t * (np.log(t) + 1) / len(x)) + 1)
     with np.errstate(over="ignore"):
-        x = distinct.astype(np.uint32)
-        low = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-        for i in range(0, len(x), 4096):
-            h = x[i : i + 4096] * _MUL + _ADD
-            h ^= h >> np.uint32(16)
-            low = np.minimum(low, (h * np.uint32(0x7FEB352D)).min(axis=1))
-        low = low.astype(np.uint64)
-        key = np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            key = (key ^ low.reshape(BANDS, ROWS)[:, r]) * np.uint64(0x94D049BB133111EB)
-            key ^= key >> np.uint64(30)
-        return key.astype(np.int64).tolist()
+        while True:
+            turn = np.arange(low + 1, low + rounds + 1, dtype=np.uint64)[:, None]
+            h = (x ^ turn * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(29)
+            place = (h >> np.uint64(32)) * np.uint64(t) >> np.uint64(32) << np.uint64(48)
+            h &= np.uint64(0xFFFFFFFF)
+            h |= place
+            h |= (turn - np.uint64(low)) << np.uint64(32)
+            k = np.sort(h, axis=None)
+            at = k >> np.uint64(48)
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            at, k = at[first].astype(np.int64), k[first]
+            new = empty[at]
+            at = at[new]
+            out[at] = (k[new] & np.uint64(0xFFFFFFFFFFFF)) + (np.uint64(low) << np.uint64(32))
+            empty[at] = False
+            if not empty.any():
+                return out
+            low += rounds
+
+
+def bands(distinct: np.ndarray, shape: tuple[int, int] = CONTENT, salt: int = 0) -> list[int]:
+    """One 64-bit key a band, of its MinHash values. Sets with different salts share no band."""
+    n, rows = shape
+    with np.errstate(over="ignore"):
+        key = (minima(distinct, n * rows).reshape(n, rows) * _ROW[:rows]).sum(axis=1)
+        key = (key ^ key >> np.uint64(29)) * (_BAND[:n] + np.uint64(salt * 8192))
+        return (key ^ key >> np.uint64(32)).view(np.int64).tolist()
+
+
+def sketch(distinct: np.ndarray) -> list[int]:
+    """Parities of the set's elements by place: two sketches differ in no more bits than the sets have elements not in common."""
+    odd = np.bincount((distinct & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
 _OUT = pa.schema(
-    [("id", pa.string()), ("repo", pa.string()), ("path", pa.string()), ("n", pa.int32()), ("literals", pa.float64()), ("literal_chars", pa.float64()), ("signs", pa.float64()), ("distinct", pa.float64()), ("line", pa.float64()), ("banner", pa.bool_()), ("minified", pa.bool_()), ("library", pa.string()), ("licensed", pa.bool_()), ("folder", pa.string()), ("plain", pa.int64()), ("plain_set", pa.list_(pa.int32())), ("plain_bands", pa.list_(pa.int64())), ("masked", pa.int64()), ("masked_set", pa.list_(pa.int32())), ("masked_bands", pa.list_(pa.int64()))]
+    [("id", pa.string()), ("repo", pa.string()), ("path", pa.string()), ("n", pa.int32()), ("literals", pa.float64()), ("literal_chars", pa.float64()), ("signs", pa.float64()), ("distinct", pa.float64()), ("endless", pa.bool_()), ("banner", pa.bool_()), ("library", pa.string()), ("licensed", pa.bool_()), ("folder", pa.string())]
+    + [(f"{k}_{c}", t) for k in ("content", "structure", "literal") for c, t in (("cls", pa.int64()), ("set", pa.list_(pa.int32())), ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())))]
 )
-_DDL = "id string, repo string, path string, n int, literals double, literal_chars double, signs double, distinct double, line double, banner boolean, minified boolean, library string, licensed boolean, folder string, plain long, plain_set array<int>, plain_bands array<long>, masked long, masked_set array<int>, masked_bands array<long>"
+_DDL = "id string, repo string, path string, n int, literals double, literal_chars double, signs double, distinct double, endless boolean, banner boolean, library string, licensed boolean, folder string, " + ", ".join(f"{k}_cls long, {k}_set array<int>, {k}_sketch array<long>, {k}_bands array<long>" for k in ("content", "structure", "literal"))
 
 
-def _digest(a: np.ndarray) -> int:
+def _digest(a: np.ndarray, seed: int = 0) -> int:
     import xxhash
 
-    return int(np.uint64(xxhash.xxh64_intdigest(a.tobytes())).astype(np.int64))
+    return int(np.uint64(xxhash.xxh64_intdigest(a.tobytes(), seed)).astype(np.int64))
+
+
+def _class(s: np.ndarray, shape: tuple[int, int], salt: int = 0, key: int | None = None) -> tuple:
+    """Key, set, sketch and bands of a distinct set of shingles; texts of one set have one key."""
+    return (_digest(s, salt) if key is None else key, s.astype(np.uint32).view(np.int32), sketch(s), bands(s, shape, salt))
+
+
+def blob_like(n: int, literals: float, literal_chars: float) -> bool:
+    """Whether a text is little but literals, by tokens or at any size by characters."""
+    return literals >= LITERALS and n >= LEAST_BLOB or literal_chars >= LITERAL_CHARS
+
+
+def literal_only(kinds: np.ndarray, masked: np.ndarray) -> np.ndarray:
+    """The distinct masked shingles that hold nothing but literals and signs; of a text without such a shingle all of them."""
+    n = max(1, len(kinds) - SHINGLE + 1)
+    only, some = np.ones(n, bool), np.zeros(n, bool)
+    for j in range(min(SHINGLE, len(kinds))):
+        k = kinds[j : j + n]
+        only &= (k == 1) | (k == 2)
+        some |= k == 1
+    return np.unique(masked[only & some]) if (only & some).any() else np.unique(masked)
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,105 +262,98 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.array(list(map(codes.__getitem__, toks)), np.uint64)
             n = len(toks)
             plain, masked, kinds = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF), both & np.uint64(3)
-            lit = float((kinds == 1).mean()) if n else 0.0
-            doc = n and toks[0][:3] in ('"""', "'''")  # a module's docstring is documentation
-            chars = [len(t) for t in toks[1 if doc else 0 :]]
-            lit_chars = sum(c for c, k in zip(chars, kinds[1 if doc else 0 :].tolist()) if k == 1) / sum(chars) if chars else 0.0
-            signs = float((kinds == 2).mean()) if n else 0.0
+            of_kind = np.bincount(kinds.astype(np.int64), minlength=4)
+            lit, signs = (of_kind[1] / n, of_kind[2] / n) if n else (0.0, 0.0)
+            doc = 1 if n and toks[0][:3] in ('"""', "'''") else 0  # a module's docstring is documentation
+            chars = sum(map(len, toks)) - (len(toks[0]) if doc else 0)
+            lit_chars = sum(len(toks[i]) for i in np.flatnonzero(kinds == 1).tolist() if i >= doc) / chars if chars else 0.0
             ms = shingles(masked)
             mset = np.unique(ms)
-            ratio = len(mset) / len(ms)
-            lines = code.count("\n") + 1
-            line = len(code) / lines
-            longest = max(map(len, code.split("\n")))
-            blocks = comments(code, path or "") if _BANNER.search(code) or _LICENCE.search(code) else []
+            lines, low = code.count("\n") + 1, code.lower()
+            endless = n >= LEAST and len(code) > 120 * lines and max(map(len, code.split("\n"))) > 400 and signs > 0.4 and lit < LITERALS
+            blocks = comments(code, path or "") if any(w in low for w in _GENERATED) and _BANNER.search(code) or _LICENCE.search(code) else []
             lib, rights = header_library(blocks)
             ven = _VENDOR.search(path or "")
-            ps = np.unique(shingles(plain)) if n >= LEAST else np.zeros(0, np.uint64)
-            rep = n >= LEAST and ratio < REPETITIVE
             folder = (ven.group("dir") or ven.group("lib")) if ven else None
+            empty = toks in ([], ["<", "?", "php"])  # no content to be copied
+            none = (None,) * 4
             rows.append(
-                (key, repo, path, n, lit, lit_chars, signs, ratio, line, generator_banner(blocks), n >= LEAST and longest > 400 and line > 120 and signs > 0.4 and lit < LITERALS, lib, rights and lib not in (repo or "").lower(), re.sub(r"-\d[\w.]*$", "", folder).lower() if folder else None)
-                + (None if toks in ([], ["<", "?", "php"]) else _digest(plain), ps.astype(np.uint32).view(np.int32), bands(ps) if len(ps) else None, _digest(mset) if rep else None, mset.astype(np.uint32).view(np.int32) if rep else None, bands(mset) if rep else None)
+                (key, repo, path, n, lit, lit_chars, signs, len(mset) / len(ms), endless, generator_banner(blocks), lib, rights and lib not in (repo or "").lower(), re.sub(r"-\d[\w.]*$", "", folder).lower() if folder else None)
+                + (none if empty else _class(np.unique(shingles(plain)), CONTENT, 0, _digest(plain)))
+                + (none if empty else _class(mset, STRUCTURE, 1))
+                + (_class(literal_only(kinds, ms), STRUCTURE, 2) if not empty and blob_like(n, lit, lit_chars) else none)
             )
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_OUT), _OUT)], schema=_OUT)
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of class keys those whose sets are alike."""
-    sets = classes.select("cls", "set")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("_sa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("set").alias("_sb")), "b")
-    same = F.size(F.array_intersect("_sa", "_sb"))
-    return both.where(same >= threshold * (F.size("_sa") + F.size("_sb") - same)).select("a", "b")
+def _classes(seen: DataFrame, kind: str) -> DataFrame:
+    """``(cls, size, set, sketch, bands)``: one row a class of texts, however many have it."""
+    own = [F.first(f"{kind}_{c}").alias(c) for c in ("set", "sketch", "bands")]
+    return seen.where(F.col(f"{kind}_cls").isNotNull()).groupBy(F.col(f"{kind}_cls").alias("cls")).agg(*own).withColumn("size", F.size("set"))
 
 
-def links(classes: DataFrame, threshold: float = SIMILAR, bucket: int = BUCKET) -> DataFrame:
-    """Verified pairs ``(a, b)``, both ways, of classes ``(cls, set, bands)`` that share a band.
+def _clustered(seen: DataFrame, classes: DataFrame, kind: str, bucket: int) -> DataFrame:
+    """``(<kind>_cls, <kind>)``: the cluster of each class; a class without a link is its own."""
+    found = clusters(classes, SIMILAR, SKETCH, bucket)
+    return classes.select("cls").join(found, "cls", "left").select(F.col("cls").alias(f"{kind}_cls"), F.coalesce("cluster", "cls").alias(kind))
 
-    All pairs of a bucket are compared. One of more than ``bucket`` classes is
-    cut into blocks of about ``bucket``, each of which meets the whole bucket, so
-    that no task holds all pairs of a hot one; the result is the same.
-    """
-    b = materialize(classes.select("cls", F.size("set").alias("size"), F.explode("bands").alias("band")), "bands")
-    sizes = b.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    sized = materialize(b.join(sizes, "band").withColumn("blocks", F.ceil(F.col("n") / bucket).cast("int")), "buckets")
-    left = sized.select("band", F.col("cls").alias("a"), F.col("size").alias("_na"), F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"))
-    right = sized.select("band", F.col("cls").alias("b"), F.col("size").alias("_nb"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    # sets whose sizes differ by more than the threshold cannot be alike
-    near = (F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb"))
-    pairs = left.join(right, ["band", "block"]).where(near).select("a", "b").distinct()
-    out = materialize(_similar(pairs, classes, threshold), "alike")
-    return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
-
-def classify(files: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """``(id, generated, minified, vendored, blob, copies_in_repos, family)`` of each distinct text of ``files`` (id, repo, path, code).
+def classify(files: DataFrame, bucket: int = BUCKET, rules: bool = True) -> DataFrame:
+    """``(id, generated, minified, vendored, blob, clustered, copies_in_repos, family)`` of each distinct text of ``files`` (id, repo, path, code).
 
     Null and empty texts have no row. A row repeated with the same id, repo,
     path and text is one file. ``copies_in_repos`` is the number of repositories
-    that hold the text or one like it, ``family`` the number of other texts of
-    the same structure, counted where the structure repeats itself.
+    of the text's content cluster, ``family`` the number of other texts of its
+    structure cluster that repeat themselves. ``clustered`` tells that a cluster
+    decides, not a rule; with ``rules`` false, rules decide nothing.
     """
     src = files.select("id", "repo", "path", "code").where(F.col("id").isNotNull() & F.col("code").isNotNull() & (F.length("code") > 0))
     seen = materialize(src.mapInArrow(describe, _DDL), "texts")
 
-    # content: classes by token row, the repositories of each and of those like it
-    some = seen.where(F.col("plain").isNotNull())
-    plain = materialize(some.where(F.col("n") >= LEAST).groupBy(F.col("plain").alias("cls")).agg(F.first("plain_set").alias("set"), F.first("plain_bands").alias("bands")), "plain")
-    where = materialize(some.select(F.col("plain").alias("cls"), F.coalesce("repo", F.lit("")).alias("repo")).distinct(), "repos")
-    near = links(plain, bucket=bucket)
-    around = near.join(where.select(F.col("cls").alias("b"), "repo"), "b").select(F.col("a").alias("cls"), "repo").unionByName(where).distinct()
-    spread = materialize(around.groupBy("cls").agg(F.count("*").alias("repos")), "spread")
-
-    # structure: classes by shingle set among texts that repeat themselves; relatives with another content
-    rep = seen.where(F.col("masked").isNotNull())
-    kinds = rep.groupBy(F.col("masked").alias("cls")).agg(F.first("masked_set").alias("set"), F.first("masked_bands").alias("bands"))
-    kinds = materialize(kinds, "masked")
-    texts = materialize(rep.select(F.col("masked").alias("cls"), "plain").distinct().groupBy("cls").agg(F.count("*").alias("texts")), "kinds")
-    kin = links(kinds, bucket=bucket).join(texts.select(F.col("cls").alias("b"), "texts"), "b").groupBy(F.col("a").alias("cls")).agg(F.sum("texts").alias("near"))
-    family = texts.join(kin, "cls", "left").select(F.col("cls").alias("masked"), (F.col("texts") - 1 + F.coalesce("near", F.lit(0))).alias("family"))
-
-    # libraries learnt from what stands in several repositories
-    copied = seen.join(spread.where("repos > 1").select(F.col("cls").alias("plain")), "plain", "left_semi")
-    names = copied.select(F.explode(F.array("library", "folder")).alias("library"), "repo").where("library IS NOT NULL").distinct().groupBy("library").agg(F.count("*").alias("r")).where("r > 1").select("library")
+    # structure and literals in one run: their bands are salted apart
+    shapes = materialize(_classes(seen, "structure").unionByName(_classes(seen, "literal")), "shapes")
+    shape = materialize(_clustered(seen, shapes, "structure", bucket), "shape")
+    contents = materialize(_classes(seen, "content"), "contents")
+    content = materialize(_clustered(seen, contents, "content", bucket), "content")
 
+    flat = seen.drop(*[f"{k}_{c}" for k in ("content", "structure", "literal") for c in ("set", "sketch", "bands")])
+    flat = flat.join(shape, "structure_cls", "left").join(shape.select(F.col("structure_cls").alias("literal_cls"), F.col("structure").alias("literal")), "literal_cls", "left").join(content, "content_cls", "left")
+    like_blob = (F.col("literals") >= LITERALS) & (F.col("n") >= LEAST_BLOB) | (F.col("literal_chars") >= LITERAL_CHARS)
+    code = (F.col("signs") >= SIGNS) & (F.col("n") >= 12)
+    repeats = (F.col("distinct") < REPETITIVE) & code & ~like_blob & (F.col("n") >= LEAST)
+    flat = materialize(flat.withColumn("like_blob", like_blob).withColumn("code", code).withColumn("repeats", repeats).withColumn("repo", F.coalesce("repo", F.lit(""))), "clustered")
+
+    # families: clusters of structure with two texts of one repository that are not copies of each other; counted by (cluster, repo) first
+    per_repo = flat.where("repeats").groupBy("structure", "repo").agg(F.count_distinct("content").alias("texts"))
+    family = per_repo.groupBy("structure").agg((F.sum("texts") - 1).alias("family"), (F.max("texts") > 1).alias("is_family"))
+    blobs = flat.where("like_blob").select("literal", "content").distinct().groupBy("literal").agg((F.count("*") > 1).alias("is_blobs"))
+
+    # what stands in several repositories, by cluster of content
+    spread = materialize(flat.where("content IS NOT NULL").select("content", "repo").distinct().groupBy("content").agg(F.count("*").alias("repos")), "spread")
+    at = flat.join(spread, "content", "left")
+    # libraries learnt from it
+    names = at.where("repos > 1").select(F.explode(F.array("library", "folder")).alias("library"), "repo").where("library IS NOT NULL").distinct().groupBy("library").agg(F.count("*").alias("r")).where("r > 1").select("library")
     # and places: two folders in a row most of whose files stand in several repositories
     steps = F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     windows = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda i: F.concat_ws("/", F.element_at(steps, i), F.element_at(steps, i + 1)))
-    placed = seen.where(F.col("path").isNotNull() & (F.size(steps) > 1)).select("id", "repo", "plain", F.explode(windows).alias("place")).join(spread.withColumnRenamed("cls", "plain"), "plain", "left")
+    placed = at.where(F.col("path").isNotNull() & (F.size(steps) > 1)).select("id", "repos", F.explode(windows).alias("place"))
     is_copy = F.coalesce("repos", F.lit(1)) > 1
     places = placed.groupBy("place").agg(F.count("*").alias("files"), F.sum(is_copy.cast("int")).alias("copies")).where((F.col("copies") >= PLACE_FILES) & (F.col("copies") >= PLACE_SHARE * F.col("files"))).select("place")
     there = placed.join(places, "place", "left_semi").select("id").distinct().withColumn("_by_place", F.lit(True))
 
-    code = (F.col("signs") >= SIGNS) & (F.col("n") >= 12)
-    out = seen.drop("plain_set", "plain_bands", "masked_set", "masked_bands").join(spread.withColumnRenamed("cls", "plain"), "plain", "left").join(family, "masked", "left")
+    out = at.join(family, "structure", "left").join(blobs, "literal", "left")
     out = out.join(names.select("library", F.lit(True).alias("_by_header")), "library", "left").join(names.select(F.col("library").alias("folder"), F.lit(True).alias("_by_folder")), "folder", "left").join(there, "id", "left")
-    blob = (F.col("literals") >= LITERALS) & (F.col("n") >= LEAST_BLOB) | (F.col("literal_chars") >= LITERAL_CHARS)
-    repeats = F.col("masked").isNotNull() & code & ~blob
-    family_ = F.coalesce("family", F.lit(0))
-    generated = (repeats & ((family_ > 0) | (F.col("distinct") < 0.6 * REPETITIVE))) | F.col("banner")
-    known = F.coalesce("licensed", F.lit(False)) | F.coalesce("_by_header", F.lit(False)) | F.coalesce("_by_folder", F.lit(False)) | F.coalesce("_by_place", F.lit(False))
-    flags = out.select(
-        "id", generated.alias("generated"), (F.col("minified") & ~blob).alias("minified"), ((F.coalesce("repos", F.lit(1)) > 1) | (F.coalesce(known, F.lit(False)) & code)).alias("vendored"), blob.alias("blob"), F.coalesce("repos", F.lit(1)).alias("copies_in_repos"), family_.alias("family")
-    )
-    return flags.groupBy("id").agg(*[F.max(c).alias(c) for c in ("generated", "minified", "vendored", "blob", "copies_in_repos", "family")])
+    yes = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(False))
+    learnt = (yes("_by_header") | yes("_by_folder") | yes("_by_place")) & F.col("code")
+    licensed = yes("licensed") & F.col("code") if rules else F.lit(False)
+    out = out.select("id", "content", "banner", "endless", "like_blob", "repos", "family", "repeats", yes("is_family").alias("is_family"), yes("is_blobs").alias("is_blobs"), learnt.alias("learnt"), licensed.alias("licensed"))
+    out = materialize(out, "judged")
+    # a cluster of content is a library's as a whole
+    owned = out.where("learnt OR licensed").groupBy("content").agg(F.max("learnt").alias("_learnt"), F.max("licensed").alias("_licensed"))
+    out = out.join(owned, "content", "left")
+    in_family = F.col("repeats") & F.col("is_family")
+    by_cluster = {"generated": in_family & ~F.col("endless"), "minified": in_family & F.col("endless"), "vendored": (F.coalesce("repos", F.lit(1)) > 1) | yes("_learnt"), "blob": F.col("like_blob") & F.col("is_blobs")}
+    by_rule = {"generated": F.col("banner"), "minified": F.col("endless") & ~F.col("like_blob"), "vendored": yes("_licensed"), "blob": F.col("like_blob")} if rules else dict.fromkeys(by_cluster, F.lit(False))
+    any_cluster = reduce(lambda x, y: x | y, by_cluster.values())
+    flags = out.select("id", *[(by_cluster[k] | by_rule[k]).alias(k) for k in by_cluster], any_cluster.alias("clustered"), F.coalesce("repos", F.lit(1)).alias("copies_in_repos"), F.when(F.col("repeats"), F.coalesce("family", F.lit(0))).otherwise(0).alias("family"))
+    return flags.groupBy("id").agg(*[F.max(c).alias(c) for c in (*by_cluster, "clustered", "copies_in_repos", "family")])

@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+import pytest
+
+from loomgraph.llm.operators import clusters as C
 from loomgraph.llm.operators import handwritten as H
 
 
@@ -34,19 +38,73 @@ def test_kinds(spark):
     assert H.classify(df.where("false")).count() == 0
 
 
-def test_links_are_brute_force_in_small_and_large_buckets(spark):
-    r = random.Random(2)
-    base = [r.sample(range(10**6), 60) for _ in range(4)]
-    sets = [sorted({*b[: 60 - k % 4], *r.sample(range(10**6), k % 4)}) for b in base for k in range(12)]
-    import numpy as np
+def frame(spark, sets):
+    rows = [(i, len(s), s, H.sketch(np.array(s, np.uint64)), H.bands(np.array(s, np.uint64), H.STRUCTURE)) for i, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "cls long, size int, set array<int>, sketch array<long>, bands array<long>")
+
+
+def brute(sets):
+    m = np.zeros((len(sets), len({x for s in sets for x in s})), np.float32)
+    place = {x: k for k, x in enumerate(sorted({x for s in sets for x in s}))}
+    for i, s in enumerate(sets):
+        m[i, [place[x] for x in s]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    return {(int(i), int(j)) for i, j in zip(*np.nonzero(both >= 0.8 * (n[:, None] + n[None, :] - both))) if i < j}
+
+
+def closure(n, pairs):
+    up = list(range(n))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {x: top(x) for p in pairs for x in p}
 
-    rows = [(i, s, H.bands(np.array(s, np.uint64))) for i, s in enumerate(sets)]
-    df = spark.createDataFrame(rows, "cls long, set array<int>, bands array<long>")
-    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
-    got = {tuple(x) for x in H.links(df).collect()}
-    assert got == want
-    star = {tuple(x) for x in H.links(df, bucket=3).collect()}  # stars: every class is linked within its family
-    assert star <= want and {a for a, _ in star} == {a for a, _ in want}
+
+@pytest.mark.parametrize("n, buckets", [(120, (3, 48, 10**9)), (1000, (48, 10**9))])
+def test_links_and_clusters_are_brute_force_at_every_bucket_size(spark, n, buckets):
+    """A family that drifts, so that its first class is like few of its members, and sets that are like none."""
+    r = random.Random(n)
+    base = r.sample(range(10**6), 60)
+    sets = []
+    for k in range(n):
+        if k % 10 == 0:
+            base[r.randrange(60)] = r.randrange(10**6, 2 * 10**6)
+        sets.append(sorted({*base[r.randrange(4) :], *r.sample(range(10**6), r.randrange(4))}))
+    sets += [sorted(r.sample(range(3 * 10**6, 4 * 10**6), 60)) for _ in range(20)]
+    want = brute(sets)
+    df = frame(spark, sets).cache()
+    for bucket in buckets:
+        got = [tuple(x) for x in C.links(df, 0.8, H.SKETCH, bucket).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.998 * len(want), bucket
+        assert {x.cls: x.cluster for x in C.clusters(df, 0.8, H.SKETCH, bucket).collect()} == closure(len(sets), want), bucket
+
+
+def test_components_of_long_chains_stars_and_nothing(spark):
+    r = random.Random(1)
+    pairs = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2000, 2000), (3001, 3000), (3000, 3001)] + [(4000 + r.randrange(60), 4000 + r.randrange(60)) for _ in range(50)]
+    got = {x.cls: x.cluster for x in C.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == closure(5000, [(a, b) for a, b in pairs if a != b])
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_bound_what_sets_do_not_share_and_minima_meet_as_often_as_sets_are_alike():
+    r = np.random.RandomState(4)
+    met = []
+    for n in (1, 3, 40, 300, 3000):
+        for share in (0.0, 0.5, 0.9):
+            u = r.randint(0, 1 << 32, 2 * n, dtype=np.uint64)
+            a, b = u[:n], u[n - int(share * n) : 2 * n - int(share * n)]
+            apart = len(np.setxor1d(a, b))
+            assert sum(((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(H.sketch(a), H.sketch(b))) <= apart
+            if n >= 40:
+                met.append((np.mean(H.minima(a, 320) == H.minima(b, 320)), 1 - apart / len(np.union1d(a, b))))
+    assert all(abs(x - y) < 0.12 for x, y in met)
 
 
 def test_large_buckets_give_what_small_ones_give(spark):
@@ -64,27 +122,16 @@ def test_large_buckets_give_what_small_ones_give(spark):
     df = spark.createDataFrame(rows, "id string, repo string, path string, code string")
     wide = {tuple(x) for x in H.classify(df, bucket=48).collect()}
     assert {tuple(x) for x in H.classify(df, bucket=3).collect()} == wide
-    import numpy as np
-
     texts = {k: np.unique(H.shingles(np.array([H._Codes()[t] >> 32 for t in H.tokens(c, p)], np.uint64))) for k, _, p, c in rows if k[0] == "c"}
     alike = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
-    want = {k: len({q for j, q, _, _ in rows if j in texts and alike(texts[k], texts[j])}) for k in texts}
-    got = {x[0]: x[5] for x in wide}
+    at = list(texts)
+    up = closure(len(at), [(i, j) for i in range(len(at)) for j in range(i) if alike(texts[at[i]], texts[at[j]])])
+    repo = {k: q for k, q, _, _ in rows}
+    want = {k: len({repo[j] for n, j in enumerate(at) if up.get(n, n) == up.get(m, m)}) for m, k in enumerate(at)}
+    got = {x[0]: x[6] for x in wide}
     assert {k: got[k] for k in want} == want and max(want.values()) == 2
 
 
-def test_links_of_large_buckets_are_all_pairs(spark):
-    r = random.Random(2)
-    import numpy as np
-
-    base = r.sample(range(10**6), 60)
-    sets = [sorted({*base[k % 4 :], *r.sample(range(10**6), k % 4)}) for k in range(24)]
-    df = spark.createDataFrame([(i, s, H.bands(np.array(s, np.uint64))) for i, s in enumerate(sets)], "cls long, set array<int>, bands array<long>")
-    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})}
-    got = [tuple(x) for x in H.links(df, bucket=3).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-
-
 def test_headers_stand_anywhere_in_the_comments_and_mentions_do_not_count():
     bsd = "/*\n" + " * Redistribution and use in source and binary forms, with or without change, are permitted.\n" * 30 + " */\n"
     body = "package a.b;\nimport c.d;\nclass X { int f() { return 1; } }\n"
