@@ -1,18 +1,20 @@
 """Keyword-stuffed and link-list pages: phrases replicated on other hosts, joined with list density.
 
-Every page's phrases (single words and pairs of words in a row, numbers masked)
-are counted by distinct hosts, pre-aggregated by task to at most ``MIN_HOSTS``
-hosts a phrase, which decides exactly whether a phrase stands on that many
-hosts. The text is cut into segments (lines, list items, sentences); a segment
-is link or list matter if it has no sentence: few function words of the four
-languages, or a link with next to nothing said about it. Code, logs, tables and
-headings are neither. The phrases of pages that are list matter for more than
-half of their text are joined with the replicated phrases; a page is flagged if
-link lists and lists stitched from replicated phrases (or phrases the page
-itself repeats) make up more than half of its text.
-
-Phrases are pairs, not five words: keyword lists shuffle their keywords, so that
-no run of five words comes back, while each keyword does.
+Every page is cut into segments (lines, list items, sentences). A segment is
+link or list matter if it is no sentence: few function words of the four
+languages, or a link with next to nothing said about it; code, logs, tables and
+headings are neither. All phrases of that matter, on all pages, are exploded: an
+item between two separators (a tag, a cell of a product line, a link's text or
+the host it leads to), and every run of three words where no separator stands.
+Numbers are masked. Each phrase is counted by distinct hosts.
+
+A page is flagged if both hold: more than half of its text is list or link
+matter (density), and that matter is stitched from phrases that stand on
+``MIN_HOSTS`` hosts or come back on the page itself. A list of things that are
+said nowhere else is no spam, however dense.
+
+Phrases have three words, not five: keyword lists shuffle their keywords, so that
+no run of five words comes back.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,10 @@ from loomgraph.session import materialize
 MIN_HOSTS = 3
 #: Occurrences of a phrase in one page that count as repetition.
 REPEATS = 3
-#: Share of a page's list phrases that must be replicated or repeated.
-STITCHED = 0.5
-#: Phrase and host pairs a task holds before it hands them on.
-HELD = 1_500_000
+#: Share of a page's phrases that must be replicated or repeated, and of its text that must be list or link matter.
+STITCHED, DENSE = 0.4, 0.5
+#: Words up to which a stretch between separators is one phrase, and of a phrase in a longer one.
+ITEM, RUN = 4, 3
 
 #: Function words of English, German, Spanish and French.
 FUNCTION_WORDS = frozenset(
@@ -60,7 +61,9 @@ _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
 _HEAD = re.compile(r"#{1,6}\s")
 _CODE = re.compile(r"[;{}]\s*$|^\s{4,}\S|^\s*(?://|/\*|\*/|\*\s|<\?php|@\w+)|^\s*(?:import|from|package|use|def|class|return|public|private|const|let|var|val|fun|function|if|for|else|try|catch)\b.*[;:{(.=]|\w\(.*\)\s*$|\s=\s")
-_ATOM = re.compile(r"[|,;•·>/»«#\t]+|\s[-–—*]+\s|[.!?:]+(?:\s|$)")
+_ATOM = re.compile(r"[|,;•·>/»«#\t()\[\]\"`*=]+|\s[-–—]+\s|[.!?:]+(?:\s|$)")
+_HOST = re.compile(r"(?:https?://|\bwww\.)([^\s/<>\")\]]+)", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 def segments(text: str) -> Iterator[tuple[str | None, str]]:
@@ -82,6 +85,12 @@ def segments(text: str) -> Iterator[tuple[str | None, str]]:
             yield None, line
 
 
+def _itemised(segment: str) -> bool:
+    """Three short items or more between separators: one function word in it ("in stock") makes no sentence."""
+    sizes = [len(_WORD.findall(x)) for x in _ATOM.split(segment)]
+    return max(sizes) <= ITEM and sum(map(bool, sizes)) >= 3
+
+
 def kind(segment: str) -> str:
     if "://" in segment or "](" in segment or "<a" in segment or "www." in segment:
         bare, links = _LINK.subn(" ", segment)
@@ -93,7 +102,7 @@ def kind(segment: str) -> str:
     if not words:
         return "mark"
     told = sum(map(FUNCTION_WORDS.__contains__, words))
-    if len(words) >= 4 and told >= 0.12 * len(words):
+    if len(words) >= 4 and told >= 0.12 * len(words) and not (told == 1 and _itemised(segment)):
         return "prose"
     s = segment.strip()
     if _HEAD.match(s):
@@ -103,144 +112,73 @@ def kind(segment: str) -> str:
     return "code" if _CODE.search(segment) else "list"
 
 
-def list_phrases(segment: str) -> Iterator[tuple[str, ...]]:
-    """Pairs of words in a row within an atom between separators; the word of an atom of one."""
+def _words(text: str) -> list[str]:
+    return ["0" if any(c.isdigit() for c in w) else w for w in _WORD.findall(_CAMEL.sub(" ", text).lower())]
+
+
+def phrases(segment: str, linked: bool) -> Iterator[str]:
+    """Phrases of list or link matter: items between separators, runs of three words of longer stretches, texts and hosts of links."""
+    if linked:
+        for m in _LINK.finditer(segment):
+            host = _HOST.search(m.group())
+            if host:
+                yield "to " + host.group(1).lower()
+            said = " ".join(_words(_TAG.sub(" ", m.group("a") or m.group("m") or "")))
+            if said:
+                yield said
+        segment = _LINK.sub("|", segment)
     for atom in _ATOM.split(_TAG.sub(" ", segment)):
-        w = [_mask(x) for x in _WORD.findall(atom.lower())]
-        yield from zip(w, w[1:]) if len(w) > 1 else [(w[0],)] if w else []
-
-
-def _mask(w: str) -> str:
-    return "0" if any(c.isdigit() for c in w) else w
-
-
-def _hash64(s: str) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(s)
-
-
-class _Words(dict):
-    """64-bit hash of a masked word, kept by word."""
-
-    def __missing__(self, w: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[w] = _hash64(_mask(w))
-        return h
-
-
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _pairs(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (h[:-1] * _PAIR) ^ (h[1:] + (h[1:] >> np.uint64(29)))
-
-
-_OUT = pa.schema([("doc_id", pa.int64()), ("chars", pa.int64()), ("link_chars", pa.int64()), ("list_chars", pa.int64()), ("phrase", pa.int64()), ("n", pa.int32()), ("host", pa.int32())])
-_DDL = "doc_id long, chars long, link_chars long, list_chars long, phrase long, n int, host int"
-
-
-def _first_hosts(phrase: np.ndarray, host: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (phrase, host), of each phrase the first ``most`` hosts: enough to tell whether there are that many."""
-    order = np.lexsort((host, phrase))
-    p, h = phrase[order], host[order]
-    new = np.ones(len(p), bool)
-    new[1:] = (p[1:] != p[:-1]) | (h[1:] != h[:-1])
-    p, h = p[new], h[new]
-    first = np.ones(len(p), bool)
-    first[1:] = p[1:] != p[:-1]
-    at = np.arange(len(p))
-    rank = at - np.maximum.accumulate(np.where(first, at, 0))
-    return p[rank < most], h[rank < most]
-
-
-def _scan(min_hosts: int):
-    """Two kinds of rows: (phrase, host) of all pages; (doc_id, ..., phrase, n) of pages that are mostly list matter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held_p, held_h, held = _Words(), [], [], 0
-
-        def hosts():
-            p, h = _first_hosts(np.concatenate(held_p), np.concatenate(held_h), min_hosts)
-            return p, h
-
-        def rows(p, h):
-            nulls = [pa.nulls(len(p), f.type) for f in _OUT]
-            nulls[4], nulls[6] = pa.array(p.view(np.int64)), pa.array(h)
-            return pa.RecordBatch.from_arrays(nulls, schema=_OUT)
-
-        for b in batches:
-            listed = []
-            hashes, sizes, sites = [], [], []
-            for doc, text, site in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if not text:
-                    continue
-                seq = _WORD.findall(text.lower())
-                if site and seq:
-                    hashes.extend(map(known.__getitem__, seq))
-                    sizes.append(len(seq))
-                    sites.append(_hash64(site.strip().lower()) & 0x7FFFFFFF)
-                chars = Counter()
-                lists = []
-                for k, s in segments(text):
-                    k = k or kind(s)
-                    chars[k] += len(s)
-                    if k == "list":
-                        lists.append(s)
-                total, link, listy = sum(chars.values()), chars["link"], chars["list"]
-                if link + listy <= 0.5 * total:
-                    continue
-                phrases = Counter(p for s in lists for p in list_phrases(s))
-                keys = {None: 0} if not phrases else phrases
-                for p, n in keys.items():
-                    ph = None
-                    if p is not None:
-                        h = np.array([known[w] for w in p], np.uint64)
-                        ph = int((_pairs(h)[0] if len(p) > 1 else h[0]).astype(np.int64))
-                    listed.append((doc, total, link, listy, ph, n, None))
-            if listed:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*listed), _OUT)], schema=_OUT)
-            if hashes:
-                h = np.array(hashes, np.uint64)
-                n = np.array(sizes)
-                host = np.repeat(np.array(sites, np.int32), n)
-                inner = np.ones(len(h), bool)
-                inner[np.cumsum(n) - 1] = False  # the last word of a page begins no pair
-                p, o = _first_hosts(np.concatenate([h, _pairs(h)[inner[:-1]]]), np.concatenate([host, host[:-1][inner[:-1]]]), min_hosts)
-                held_p.append(p)
-                held_h.append(o)
-                held += len(p)
-                if held > HELD:
-                    p, o = hosts()
-                    if len(p) > HELD // 2:
-                        yield rows(p, o)
-                        held_p, held_h, held = [], [], 0
-                    else:
-                        held_p, held_h, held = [p], [o], len(p)
-        if held:
-            yield rows(*hosts())
-
-    return run
-
-
-def spam_scores(documents: DataFrame, min_hosts: int = MIN_HOSTS) -> DataFrame:
-    """``(doc_id, list_share, link_share, stitched, flagged)`` of the pages that are list or link matter for more than half.
-
-    documents: (doc_id, text, site). A null or empty text gives no row; pages
-    without a site are judged but give no evidence for others. Repeated rows of
-    one doc_id are judged as one page with all their phrases.
+        w = _words(atom)
+        if len(w) > ITEM:
+            yield from (" ".join(w[i : i + RUN]) for i in range(len(w) - RUN + 1))
+        elif w:
+            yield " ".join(w)
+
+
+_OUT = pa.schema([("doc_id", pa.int64()), ("chars", pa.int64()), ("link_chars", pa.int64()), ("list_chars", pa.int64()), ("phrase", pa.int64()), ("n", pa.int32()), ("host", pa.int64())])
+_DDL = "doc_id long, chars long, link_chars long, list_chars long, phrase long, n int, host long"
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a page with its characters by kind (phrase null), one a page and phrase with the times it stands there."""
+    from xxhash import xxh64_intdigest as hashed
+
+    sign = 1 << 63
+    for b in batches:
+        rows = []
+        for doc, text, site in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if not text:
+                continue
+            chars: Counter = Counter()
+            said: Counter = Counter()
+            for k, s in segments(text):
+                k = k or kind(s)
+                chars[k] += len(s)
+                if k in ("list", "link"):
+                    said.update(phrases(s, k == "link"))
+            host = hashed(site.strip().lower()) - sign if site and site.strip() else None
+            rows.append((doc, sum(chars.values()), chars["link"], chars["list"], None, None, None))
+            rows.extend((doc, None, None, None, hashed(p) - sign, n, host) for p, n in said.items())
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * len(_OUT), _OUT)], schema=_OUT)
+
+
+def spam_scores(documents: DataFrame, min_hosts: int = MIN_HOSTS, stitched: float = STITCHED) -> DataFrame:
+    """``(doc_id, list_share, link_share, stitched, flagged)`` of every page.
+
+    documents: (doc_id, text, site). A null or empty text, or a null doc_id,
+    gives no row; pages without a site are judged but give no evidence for
+    others. Repeated rows of one doc_id are judged as one page with all their
+    phrases. With ``stitched`` 0 density alone decides.
     """
-    seen = materialize(documents.select(F.col("doc_id").cast("long"), "text", "site").mapInArrow(_scan(min_hosts), _DDL), "phrases")
-    wanted = seen.where("doc_id IS NOT NULL")
-    hosts = seen.where("doc_id IS NULL AND host IS NOT NULL").select("phrase", "host").distinct()
-    replicated = hosts.groupBy("phrase").agg(F.count("*").alias("hosts")).where(F.col("hosts") >= min_hosts).select("phrase", F.lit(True).alias("replicated"))
-    marked = wanted.join(replicated, "phrase", "left")
-    stuffed = F.col("replicated").isNotNull() | (F.col("n") >= REPEATS)
-    by = marked.groupBy("doc_id").agg(
-        F.max("chars").alias("chars"), F.max("link_chars").alias("link_chars"), F.max("list_chars").alias("list_chars"), F.sum("n").alias("phrases"), F.sum(F.when(stuffed & F.col("phrase").isNotNull(), F.col("n")).otherwise(0)).alias("stuffed"),
-    )
-    by = by.withColumn("stitched", F.when(F.col("phrases") > 0, F.col("stuffed") / F.col("phrases")).otherwise(0.0))
-    bad = F.col("link_chars") + F.when(F.col("stitched") >= STITCHED, F.col("list_chars")).otherwise(0)
-    return by.select("doc_id", (F.col("list_chars") / F.col("chars")).alias("list_share"), (F.col("link_chars") / F.col("chars")).alias("link_share"), "stitched", (bad > 0.5 * F.col("chars")).alias("flagged"))
+    seen = materialize(documents.select(F.col("doc_id").cast("long"), "text", "site").where("doc_id IS NOT NULL").mapInArrow(_scan, _DDL), "phrases")
+    said = seen.where("phrase IS NOT NULL").select("doc_id", "phrase", "n", "host")
+    # hosts of a phrase: distinct pairs first, so that a phrase on a third of all pages is spread by its hosts
+    hosts = said.where("host IS NOT NULL").select("phrase", "host").distinct().groupBy("phrase").agg(F.count("*").alias("hosts"))
+    replicated = hosts.where(F.col("hosts") >= min_hosts).select("phrase", F.lit(True).alias("replicated"))
+    stuffed = F.when(F.col("replicated").isNotNull() | (F.col("n") >= REPEATS), F.col("n")).otherwise(0)
+    marked = said.join(replicated, "phrase", "left").groupBy("doc_id").agg(F.sum("n").alias("phrases"), F.sum(stuffed).alias("stuffed"))
+    pages = seen.where("phrase IS NULL").groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("chars", "link_chars", "list_chars")])
+    by = pages.join(marked, "doc_id", "left").withColumn("stitched", F.coalesce(F.col("stuffed") / F.col("phrases"), F.lit(0.0)))
+    dense = F.coalesce((F.col("link_chars") + F.col("list_chars")) > DENSE * F.col("chars"), F.lit(False))
+    share = lambda c: F.when(F.col("chars") > 0, F.col(c) / F.col("chars")).otherwise(0.0)
+    return by.select("doc_id", share("list_chars").alias("list_share"), share("link_chars").alias("link_share"), "stitched", (dense & (F.col("stitched") >= stitched)).alias("flagged"))

@@ -1,4 +1,4 @@
-import numpy as np
+import random
 
 from loomgraph.llm.operators import spam
 
@@ -24,13 +24,24 @@ def test_found_and_not(spark):
     assert spam.spam_scores(df.where("false")).count() == 0
 
 
-def test_first_hosts_decide_exactly():
-    r = np.random.RandomState(3)
-    p, h = r.randint(0, 40, 500).astype(np.uint64), r.randint(0, 5, 500).astype(np.int32)
-    a, b = spam._first_hosts(p, h, 3)
-    for x in range(40):
-        assert min(3, len(set(h[p == x]))) == len(set(b[a == x])) == (a == x).sum()
-    cut = [spam._first_hosts(p[i::4], h[i::4], 3) for i in range(4)]
-    for x in range(40):
-        union = set().union(*(set(b[a == x]) for a, b in cut))
-        assert (len(union) >= 3) == (len(set(h[p == x])) >= 3)
+def test_phrases_decide_and_not_density_alone(spark):
+    """The same dense list is spam where its phrases stand on three hosts, and none where they are said nowhere else."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    own = [(i, "; ".join(f"{word()} {word()}" for _ in range(30)), f"h{i}.example") for i in range(4)]
+    farm = "; ".join(f"{word()} {word()}" for _ in range(30))
+    shared = [(10 + i, farm, f"h{i}.example") for i in range(3)] + [(20 + i, "Tags: " + farm[::-1], "one.example") for i in range(5)]
+    links = [(30, "\n".join(f"* [{word()}](https://{word()}.example/{word()})" for _ in range(20)), "h1.example")]
+    run = [(40 + i, " ".join(["seo plugin", "code scanner", "php templates"][(k * (i + 1) + k // 7) % 3] for k in range(60)), f"h{i}.example") for i in range(4)]
+    df = spark.createDataFrame(own + shared + links + run, "doc_id long, text string, site string")
+    flagged = lambda **k: {x.doc_id for x in spam.spam_scores(df, **k).where("flagged").collect()}
+    assert flagged() == {10, 11, 12, 40, 41, 42, 43}
+    assert flagged(stitched=0.0) == {x[0] for x in own + shared + links + run}
+
+
+def test_phrases_of_a_segment():
+    said = lambda s, linked=False: list(spam.phrases(s, linked))
+    assert said("Diff KA9566 Pro - EUR 100.55 - add to cart") == ["diff 0 pro", "eur 0 0", "add to cart"]
+    assert said("#diffAddress #lock2025") == ["diff address", "0"] and said("") == []
+    assert said("cheap code scanner free react themes") == ["cheap code scanner", "code scanner free", "scanner free react", "free react themes"]
+    assert said("- [Edge log](https://X.example/a) more", True) == ["to x.example", "edge log", "more"]
