@@ -1,12 +1,14 @@
 """Credentials embedded in source code, found by characters per subword and context, blanked out in place.
 
-A string is *unnatural* if a public tokenizer's vocabulary cuts it into subwords
-of few characters each; words and identifiers get long ones. Context rules say
-where a string may be a credential: assigned to or passed under a credential's
-name, in an authorisation header, as the password of a URL, connection string
-or login, or in a key block. Placeholders, lookups without default, hashes, ids
-and encoded data are no credentials. Redaction puts as many ``x`` in the place
-of the value, so that quotes, offsets and line numbers stay.
+First every literal and every long run of characters behind a name is scored: a
+string is *unnatural* if a public tokenizer's vocabulary cuts it into subwords of
+few characters each; words and identifiers get long ones. What is unnatural is a
+credential unless its context says that it is something else (a hash, an id, a
+public key, encoded data, a row of a list). Then context rules find the
+credentials that look like words: passwords under a credential's name or in an
+authorisation header, of a URL, connection string or login, and key blocks.
+Placeholders and lookups without default are none. Redaction puts as many ``x``
+in the place of the value, so that quotes, offsets and line numbers stay.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import bisect
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,14 +26,19 @@ from loomgraph.llm.operators.tokens import VOCABULARY, encoder
 
 #: Characters per subword below which a string is unnatural.
 UNNATURAL = 2.7
+#: The same for a string whose name says nothing about it, and its least length.
+STRANGE, STRANGE_CHARS = 2.0, 20
 #: Least length of a token and of a password.
 TOKEN_CHARS, PASSWORD_CHARS = 12, 6
 
 #: Words of names that hold a credential, and last words that say the name holds something about one.
-PASSWORD_NAMES = {"password", "passwd", "pwd", "passphrase", "passcode", "pass", "passw"}
+PASSWORD_NAMES = {"password", "passwd", "pwd", "passphrase", "passcode", "pass", "passw", "passwort", "kennwort", "passe", "contrasena", "contrasenia", "senha"}
 TOKEN_NAMES = {"token", "secret", "apikey", "authkey", "accesskey", "secretkey", "privatekey", "signingkey", "authtoken", "accesstoken", "apitoken", "clientsecret", "webhooksecret", "credential", "credentials", "bearer", "authorization"}
 KEY_KINDS = {"api", "access", "secret", "private", "signing", "encryption", "auth", "service", "master", "account", "client", "storage", "license", "subscription", "app", "session", "deploy", "webhook"}
 ABOUT = {"count", "counts", "url", "uri", "name", "names", "type", "length", "size", "path", "file", "id", "ids", "hash", "sha", "digest", "checksum", "fingerprint", "expiry", "expires", "ttl", "pattern", "regex", "prefix", "header", "field", "label", "policy", "hint", "public", "index", "limit", "list", "map", "class", "error", "message"}
+#: Last words of names that hold something long and unnatural that is no credential, and words that say so anywhere.
+DATA = {"uuid", "guid", "sha1", "sha256", "sha512", "md5", "crc", "etag", "revision", "commit", "integrity", "version", "build", "trace", "span", "request", "correlation", "icon", "pixel", "image", "img", "logo", "font", "favicon", "svg", "png", "data", "blob", "bytes", "base64", "encoded", "payload", "body", "content", "text", "alphabet", "charset", "chars", "table", "fixture", "snapshot", "sample", "expected", "actual", "cursor", "nonce", "cert", "certificate", "signature", "key"}
+DENYING = {"public", "hash", "sha", "digest", "checksum", "integrity", "uuid", "base64", "encoded", "data"}
 PLACEHOLDERS = {"changeme", "change-me", "change_me", "example", "password", "passwd", "secret", "token", "todo", "tbd", "none", "null", "nil", "undefined", "redacted", "placeholder", "dummy", "sample", "test", "testing", "default", "empty", "unset", "hidden", "masked", "removed", "insert-here", "fixme", "foobar", "apikey", "api-key", "api_key"}
 
 _LITERAL = r"""(?:[rbuf]{0,2})(?:"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\\n])*`)"""
@@ -53,7 +60,11 @@ _BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=_-]{8,}")
 _KNOWN = re.compile(r"(?<![\w-])(?:gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{30,}|glpat-[\w-]{20,}|AKIA[A-Z0-9]{16}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_\w{16,}|AIza[\w-]{30,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,})")
-_HOT = re.compile(r"pass|pwd|secret|token|key|auth|cred|login|bearer|connect|sign_?in", re.I)
+#: what any name, call or header of the context rules has in it
+_HOT = re.compile(r"pass|pwd|kennwort|contrase|senha|secret|token|key|auth|cred|login|bearer|connect|sign_?in", re.I)
+#: a long run without quotes behind a name
+_RUN = re.compile(r"(?<![\w$.-])\$?([A-Za-z_][\w-]*)[ \t]*[:=][ \t]*([A-Za-z0-9+/_~-]{20,}={0,2})(?![\w.(\[\"'`-])")
+_DIGEST = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _SIGNS = re.compile(r"[!@#%&^*~?]")
 #: a lookup with its name, before an operator that gives a default
@@ -64,7 +75,7 @@ _BLOCK_HEAD = re.compile(r"\s*(?:async\s+)?(?:class|def|if|else|elif|for|while|t
 _BRACKET = re.compile(r"(?<=[=:])\s*\(\s*$")
 #: comments and literals over lines; the other alternatives are passed over
 _REGIONS = re.compile(r"(\"\"\".*?\"\"\"|'''.*?'''|/\*.*?\*/|<!--.*?-->|<<<[ \t]*[\"']?(?P<doc>[A-Za-z_]\w*)[\"']?\n.*?\n[ \t]*(?P=doc)\b|`(?:\\.|[^`\\])*`)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|//[^\n]*", re.S)
-_KEY_LINE = re.compile(r"[\s/#*\"'`+.;,>\\-]*(?:[A-Za-z0-9+/=_-]+(?:\\n)?)?[\s\"'`+.;,\\]*")
+_KEY_LINE = re.compile(r"[\s/#*\"'`+.;,>\\-]*(?:[A-Za-z0-9+/=_-]|\\[nr])*[\s\"'`+.;,\\]*")
 _PLAIN = re.compile(r"[a-z]+(?:[-/._ ][a-z]+)*")
 
 
@@ -73,6 +84,8 @@ class Found:
     start: int
     end: int
     kind: str
+    #: characters per subword of the value
+    score: float = 0.0
 
 
 def name_kind(name: str) -> str | None:
@@ -106,8 +119,33 @@ class Finder:
     def __init__(self, encode):
         self.encode = encode
 
+    def score(self, v: str) -> float:
+        """Characters per subword."""
+        return len(v) / max(1, len(self.encode(v)))
+
     def unnatural(self, v: str) -> bool:
-        return len(v) < UNNATURAL * len(self.encode(v))
+        return self.score(v) < UNNATURAL
+
+    def strange(self, name: str | None, v: str) -> bool:
+        """Whether an unnatural string under a name that says nothing of credentials is one: long, mixed, no digest, no data."""
+        if len(v) < STRANGE_CHARS or sum(map(str.isdigit, v)) < 2 or v.islower() and v.isalpha() or any(c.isspace() for c in v) or not name:
+            return False
+        words = [w.lower() for w in _WORDS.findall(name)] or [name]
+        if words[-1] in DATA or words[-1] in ABOUT or name.lower() in DATA or words[-1].isdigit() or not DENYING.isdisjoint(words) or _DIGEST.fullmatch(v) or placeholder(v) or "://" in v or ":" in v[:12] or v.startswith(("sha256-", "sha384-", "sha512-")):
+            return False
+        return any(c.isupper() for c in v) and any(c.islower() for c in v) and self.score(v) < STRANGE
+
+    def _unnatural(self, code: str) -> Iterator[Found]:
+        """Every literal and every long run behind a name, by its subwords first and then by what its name denies."""
+        for m in _STRING.finditer(code):
+            v = m.group().lstrip("rbuf")[1:-1]
+            if len(v) >= STRANGE_CHARS and " " not in v:
+                name = _NAME.search(code, max(code.rfind("\n", 0, m.start()) + 1, m.start() - 200), m.start())
+                if name and self.strange(name.group(1), v):
+                    yield Found(m.end() - 1 - len(v), m.end() - 1, "unnatural")
+        for m in _RUN.finditer(code):
+            if self.strange(m.group(1), m.group(2)):
+                yield Found(m.start(2), m.end(2), "unnatural")
 
     def password(self, v: str) -> bool:
         if len(v) < PASSWORD_CHARS or any(c.isspace() for c in v) or placeholder(v) or _PLAIN.fullmatch(v):
@@ -126,7 +164,7 @@ class Finder:
         """Non-overlapping credentials in order; of overlapping ones the first found by start, then the longest."""
         if not code:
             return []
-        out: list[Found] = []
+        out = list(self._unnatural(code))
         if "PRIVATE KEY" in code:
             out.extend(self._blocks(code))
         if "://" in code:
@@ -164,7 +202,7 @@ class Finder:
         kept: list[Found] = []
         for f in out:
             if not kept or f.start >= kept[-1].end:
-                kept.append(f)
+                kept.append(replace(f, score=self.score(code[f.start : f.end])))
         return kept
 
     def _blocks(self, code: str) -> Iterator[Found]:
@@ -179,17 +217,14 @@ class Finder:
                 yield Found(m.start(), end.end() if end else m.end() + len(body), "block")
 
     def _key_end(self, code: str, at: int) -> int:
-        """The end of a key block without its last line: 4000 characters, and on while lines are key text."""
-        stop = min(len(code), at + 4000)
+        """The end of a key block without its last line: as far as lines are key text."""
+        stop = at
         while stop < len(code):
             hi = code.find("\n", stop)
             hi = len(code) if hi < 0 else hi
-            lo = code.rfind("\n", at, stop) + 1 or at
-            if not _KEY_LINE.fullmatch(code, lo, hi):
+            if not _KEY_LINE.fullmatch(code, stop, hi) or stop > at and not code[stop:hi].strip():
                 break
             stop = min(len(code), hi + 1)
-            if hi == len(code) or not code[stop : code.find("\n", stop) if code.find("\n", stop) >= 0 else len(code)].strip():
-                break
         return stop
 
     def _line(self, code: str, lo: int, hi: int) -> Iterator[Found]:
@@ -291,17 +326,19 @@ def redact(code: str, found: list[Found]) -> str:
 
 
 def credentials(rows: DataFrame, vocabulary: str = VOCABULARY, text: bool = False) -> DataFrame:
-    """``(id, line_no, start, length, kind)`` of each credential in ``code``, or with ``text`` ``(id, found, code)`` of the redacted texts that had one.
+    """``(id, line_no, start, length, kind, score)`` of each credential in ``code``, or with ``text`` ``(id, found, code)`` of the redacted texts that had one.
+
+    ``score`` is the value's characters per subword; below ``UNNATURAL`` it is unnatural.
 
     Lines are counted from 1 and end at LF. Rows with a null id, null or empty
     code give nothing; repeated rows repeat their results.
     """
-    ddl = "id string, found int, code string" if text else "id string, line_no long, start long, length long, kind string"
+    ddl = "id string, found int, code string" if text else "id string, line_no long, start long, length long, kind string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(encoder(vocabulary))
-        names = ["id", "found", "code"] if text else ["id", "line_no", "start", "length", "kind"]
-        types = [pa.string(), pa.int32(), pa.string()] if text else [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        names = ["id", "found", "code"] if text else ["id", "line_no", "start", "length", "kind", "score"]
+        types = [pa.string(), pa.int32(), pa.string()] if text else [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
         for b in batches:
             out = []
             for key, code in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -309,7 +346,7 @@ def credentials(rows: DataFrame, vocabulary: str = VOCABULARY, text: bool = Fals
                 if text and found:
                     out.append((key, len(found), redact(code, found)))
                 elif not text:
-                    out.extend((key, code.count("\n", 0, f.start) + 1, f.start, f.end - f.start, f.kind) for f in found)
+                    out.extend((key, code.count("\n", 0, f.start) + 1, f.start, f.end - f.start, f.kind, f.score) for f in found)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * len(types), types)], names=names)
 
     return rows.select("id", "code").where(F.col("id").isNotNull() & F.col("code").isNotNull()).mapInArrow(run, ddl)
