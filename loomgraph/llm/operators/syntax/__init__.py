@@ -6,8 +6,8 @@ import sys
 
 #: The language a path stands for by its extension.
 LANGUAGES = {".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".php": "php"}
-#: Nested calls a worker allows; deeper texts are reported as nested too deeply.
-DEPTH = 12_000
+#: Nested calls a worker allows. They lie on the heap, not on the stack of the process, and are as many as the text nests.
+DEPTH = 1_000_000
 
 
 def language(path: str | None) -> str | None:
@@ -28,7 +28,7 @@ def check(code: str, path: str) -> list[tuple[int, str]] | None:
     if lang == "python":
         from .python import Python
 
-        return _confirmed(Python(code).run(), code)
+        return Python(code).run()
     if lang == "java":
         from .java import Java
 
@@ -44,19 +44,3 @@ def check(code: str, path: str) -> list[tuple[int, str]] | None:
     from .javascript import JavaScript
 
     return JavaScript(code, path).run()
-
-
-def _confirmed(errors: list[tuple[int, str]], code: str) -> list[tuple[int, str]]:
-    """Exact check behind the parser: errors in Python count only where the running interpreter, if it is 3.13, finds one too."""
-    if not errors or sys.version_info[:2] != (3, 13):
-        return errors
-    import ast
-    import warnings
-
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(code)
-        return []
-    except (SyntaxError, ValueError, MemoryError, RecursionError):
-        return errors

@@ -234,7 +234,7 @@ def test_unknown_path_long_and_deep_texts():
     assert check("x", "a.txt") is None
     assert check("x = [" + "1, " * 200_000 + "]", "a.py") == []
     assert check("class A { int x = " + " + ".join(["1"] * 50_000) + "; }", "A.java") == []
-    assert check("x = " + "(" * 100_000 + "1" + ")" * 100_000, "a.js")
+    assert check("x = " + "(" * 100_000 + "1" + ")" * 100_000, "a.js") == []
 
 
 def test_python_agrees_with_the_interpreter():
@@ -259,3 +259,9 @@ def test_all_errors_of_a_text_with_very_many(path, bad):
     head, tail = {"A.java": ("class A {", "}"), "a.php": ("<?php", "")}.get(path, ("", ""))
     errors = check("\n".join([head, *lines, tail]), path)
     assert {n for n, _ in errors} >= set(range(2, 1002)) and not any("too many" in m for _, m in errors)
+
+
+@pytest.mark.parametrize("path, text", [("a.java", "class A {{ int f() {{ return {}1{}; }} }}"), ("a.kt", "val x = {}1{}"), ("a.js", "x = {}1{};"), ("a.ts", "const x = {}1{};"), ("a.php", "<?php\n$x = {}1{};")])
+def test_depth_is_not_limited(path, text):
+    assert check(text.format("(" * 20_000, ")" * 20_000), path) == []
+    assert check(text.format("(" * 20_000, ")" * 19_999), path)
