@@ -9,6 +9,7 @@ from loomgraph.operators import hierarchy as H
 from loomgraph.operators import orphans as O
 from loomgraph.operators import weighted as V
 from loomgraph.schema import names_something, rel_type, table
+from loomgraph.session import workspace
 
 NAMED = "({c} IS NOT NULL AND {c} NOT IN ('', 'null', 'None'))"
 
@@ -96,32 +97,35 @@ def _arrivals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return O.versions(table(spark, d, "code_nodes")), O.ends(table(spark, d, "code_relationships"), table(spark, d, "external_symbols"))
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _arrived(spark: SparkSession, d: str, payload: list[str]) -> DataFrame:
     """Both ends of all relationships against all node versions, as one batch of arrivals."""
     parents, refs = _arrivals(spark, d)
-    return O.probe(parents, refs, ["rel_id", "side"]).where("orphan").select("rel_id", "side")
+    store = O.OrphanStore(spark, workspace(spark, "orphans"), ["side"])
+    store.put(0, parents, refs.withColumn("month", F.date_format("at", "yyyy-MM")).select("key", "at", *payload), payload)
+    return store.references().where("orphan")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _arrived(spark, d, ["rel_id", "side"]).select("rel_id", "side")
 
 
 def p5_counts(spark: SparkSession, d: str) -> DataFrame:
-    parents, refs = _arrivals(spark, d)
-    refs = refs.withColumn("month", F.date_format("at", "yyyy-MM"))
-    return O.probe(parents, refs, ["rel_id", "side", "repo", "month"]).where("orphan").groupBy("side", "repo", "month").agg(F.count("*").alias("orphans"))
+    return _arrived(spark, d, ["rel_id", "side", "repo", "month"]).groupBy("side", "repo", "month").agg(F.count("*").alias("orphans"))
 
 
 def p5_snapshots(spark: SparkSession, d: str, cuts: tuple[str, ...] = ("2025-04-01", "2025-07-01", "2025-10-01")) -> DataFrame:
     """The incremental run: arrivals in batches up to each cut and after the last; the counts of each snapshot by side."""
     parents, refs = _arrivals(spark, d)
-    state, out = None, None
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
+    store = O.OrphanStore(spark, workspace(spark, "orphans"), ["side"])
+    ends = [*cuts, "end"]
+    for number, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):
         span = F.lit(True)
         if lo:
             span &= F.col("at") >= F.lit(lo).cast("timestamp_ntz")
         if hi:
             span &= F.col("at") < F.lit(hi).cast("timestamp_ntz")
-        state = O.advance(state, parents.where(span), refs.where(span), ["rel_id", "side"])
-        counts = O.snapshot(state, ["side"]).withColumn("up_to", F.lit(hi or "end"))
-        out = counts if out is None else out.unionByName(counts)
-    return out.select("up_to", "side", "refs", "orphans", "open_now", "resolved", "reopened")
+        store.put(number, parents.where(span), refs.where(span), ["rel_id", "side"])
+    return store.snapshots().select(F.element_at(F.array(*map(F.lit, ends)), F.col("batch") + 1).alias("up_to"), "side", *O.COUNTED)
 
 
 _ENDS = f"""refs AS (

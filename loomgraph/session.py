@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,23 +20,61 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    ``spark.checkpoint.dir`` of the session is used as it stands; only where it
-    is unset (tests, local mode) a temporary folder of this machine is set.
+    ``spark.checkpoint.dir`` of the session is used as it stands. Where it is
+    unset, a temporary folder of this machine is set in local mode only: on a
+    cluster every executor would write to a disk of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="loomgraph-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _at(spark: SparkSession, path: str):
+    """File system and path of ``path``, whatever store it lies in."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, none where it does not exist."""
+    fs, p = _at(spark, folder)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file beside and renames it, so that it is there whole or not at all."""
+    fs, p = _at(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    stream = fs.create(part, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    fs.delete(p, False)
+    fs.rename(part, p)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
 def _forget() -> None:
-    for spark, path in _WRITTEN:
+    while _WRITTEN:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(*_WRITTEN.pop())
         except Exception:  # the session may have ended already
             pass
 
@@ -42,6 +82,24 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+@contextlib.contextmanager
+def scope():
+    """What is materialized within is deleted at the end: for steps whose result is written elsewhere."""
+    mark = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > mark:
+            delete(*_WRITTEN.pop())
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/loomgraph/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 

@@ -36,19 +36,18 @@ def current(spark: SparkSession, target: str):
 class OrphanStream:
     """Pending-orphan state over micro-batches of arrivals ``(kind, key, at, gone, rel_id, side)``, kind ``parent`` or ``reference``.
 
-    Batches are taken in order of arrival. The state lives in the shared folder,
-    one version a batch; ``counts`` are the snapshots taken so far.
+    Batches are taken in order of arrival. All state lies in ``folder`` under the
+    batch numbers, so that a new process with the stream's checkpoint goes on
+    where the old one ended, and a batch run again replaces itself.
     """
 
-    def __init__(self) -> None:
-        self.state: O.OrphanState | None = None
-        self.counts: list[DataFrame] = []
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.store = O.OrphanStore(spark, folder, ["side"])
 
     def put(self, batch: DataFrame, number: int) -> None:
         parents = batch.where("kind = 'parent'").select("key", "at", "gone")
         refs = batch.where("kind = 'reference'").select("key", "at", "rel_id", "side")
-        self.state = O.advance(self.state, parents, refs, ["rel_id", "side"])
-        self.counts.append(O.snapshot(self.state, ["side"]).withColumn("batch", F.lit(number)))
+        self.store.put(number, parents, refs, ["rel_id", "side"])
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -209,10 +209,10 @@ def test_streams(spark, tmp_path):
     rows = [("parent", "k", "2025-01-02", False, None, None), ("reference", "k", "2025-01-01", None, 1, "target"), ("reference", "k", "2025-01-03", None, 2, "target")]
     land = tmp_path / "events"
     spark.createDataFrame(rows, "kind string, key string, at string, gone boolean, rel_id long, side string").withColumn("at", F.col("at").cast("timestamp_ntz")).write.parquet(str(land))
-    s = ingest.OrphanStream()
+    s = ingest.OrphanStream(spark, str(tmp_path / "state"))
     schema = spark.read.parquet(str(land)).schema
     s.start(spark.readStream.schema(schema).parquet(str(land)), str(tmp_path / "cp2")).awaitTermination()
-    one = s.counts[-1].first()
+    one = s.store.snapshots().first()
     assert (one.refs, one.orphans, one.open_now, one.resolved) == (2, 1, 0, 1)
 
 
