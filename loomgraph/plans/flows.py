@@ -38,10 +38,13 @@ def inheritance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exceptions(spark: SparkSession, d: str) -> DataFrame:
+    """Classes that extend classes, over up to five steps, where either is named an exception or an error."""
     g = G.load(spark, d)
-    pairs = _named(g, paths.expand(g, ["EXTENDS"], 5), "start", "node")
+    e = paths.expand(g, ["EXTENDS"], 5)
+    for c in ("start", "node"):
+        e = e.join(g.nodes.where("label = 'Class'").select(F.col("id").alias(c), F.col("qn").alias(f"{c}_qn"), F.col("name").alias(f"{c}_name")), c)
     like = "(Exception|Error)"
-    return pairs.where(F.col("start_qn").rlike(like) | F.col("node_qn").rlike(like)).select(F.col("start_qn").alias("exception"), F.col("node_qn").alias("parent"), "distance")
+    return e.where(F.col("start_name").rlike(like) | F.col("node_name").rlike(like)).select(F.col("start_qn").alias("exception"), F.col("node_qn").alias("parent"), "distance")
 
 
 def _ends(g: G.Graph) -> tuple[DataFrame, DataFrame]:
@@ -209,7 +212,7 @@ SQL = {
     "impact_analysis__callers": oracle(f"WITH {_hops(repr('CALLS'), 3)} {_union(3, 'node AS changed, start AS affected')}"),
     "impact_analysis__descendants": oracle(f"WITH {_hops(repr('EXTENDS') + ', ' + repr('IMPLEMENTS'), 3)} {_union(3, 'node AS changed, start AS affected')}"),
     "get_hotspots__inheritance": oracle(_walk_sql()),
-    "get_exception_handling__hierarchy": oracle(f"WITH {_hops(repr('EXTENDS'), 5)}, u AS ({_union(5, 'start, node')}) SELECT a.qn AS exception, b.qn AS parent, distance FROM u JOIN {{n}} a ON a.id = start JOIN {{n}} b ON b.id = node WHERE @re(a.qn, '(Exception|Error)') OR @re(b.qn, '(Exception|Error)')"),
+    "get_exception_handling__hierarchy": oracle(f"WITH {_hops(repr('EXTENDS'), 5)}, u AS ({_union(5, 'start, node')}) SELECT a.qn AS exception, b.qn AS parent, distance FROM u JOIN {{n}} a ON a.id = start JOIN {{n}} b ON b.id = node WHERE a.label = 'Class' AND b.label = 'Class' AND (contains(a.name, 'Exception') OR contains(a.name, 'Error') OR contains(b.name, 'Exception') OR contains(b.name, 'Error'))"),
     "find_path_between": oracle(_shortest_sql(4)),
     "get_call_chain": oracle(_chain_sql(4)),
     "trace_user_flow__calls": oracle(f"WITH {_hops(repr('CALLS'), 3, _CONTROLLERS)}, u AS ({_union(3, 'start, node')}) SELECT a.qn AS entry, b.qn AS called_method, b.label AS type, distance AS depth FROM u JOIN {{n}} a ON a.id = start JOIN {{n}} b ON b.id = node"),

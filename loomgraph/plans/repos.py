@@ -29,12 +29,26 @@ def get_method_source(spark: SparkSession, d: str) -> DataFrame:
     return preflight.method_source(G.load(spark, d), table(spark, d, "source_files"))
 
 
+def ui_calls(g: G.Graph) -> DataFrame:
+    """``(ui, ui_type, client, line)``: calls of screens to what is named like a client; without any, imports of UI modules of such modules."""
+    like = lambda c, words: F.coalesce(F.col(c), F.lit("")).rlike(f"(?i)({words})")
+    t = g.joined
+    screen = F.col("s_label").isin("Component", "Hook", "Function", "ArrowFunction", "AsyncFunction") & ((F.col("s_label") == "Component") | like("s_name", tools.ROUTE_NAME) | like("s_path", tools.UI_CALL_PATH))
+    calls = t.where((F.col("type") == "CALLS") & screen & (like("d_name", tools.UI_CALL) | like("d_qn", tools.UI_CALL)))
+    module = (F.col("s_label") == "Module") & (F.col("d_label") == "Module") & (like("s_path", tools.UI_MODULE_PATH) | like("s_qn", tools.UI_MODULE_NAME))
+    imports = t.where((F.col("type") == "IMPORTS") & module & (like("d_name", tools.CLIENT_CALL) | like("d_qn", tools.CLIENT_CALL)))
+    cols = [F.col("s_qn").alias("ui"), F.col("s_label").alias("ui_type"), F.col("d_qn").alias("client"), "line"]
+    calls, imports = calls.select(*cols).distinct(), imports.select(*cols).distinct()
+    return calls.unionByName(imports.where(calls.agg(F.count("*").alias("n")).scalar() == 0))
+
+
 def ui_to_api(spark: SparkSession, d: str) -> DataFrame:
-    """Callers of client-like functions matched with endpoints by the words of their names, three endpoints each."""
+    """Calls of screens to clients, each with the first three endpoints whose names have a word in common with the client's."""
     g = G.load(spark, d)
-    calls = tools.call(g, "get_api_client_summary__calls").select("caller")
+    calls = ui_calls(g)
     ends = tools.call(g, "get_api_endpoints__named").select("endpoint")
-    return names.overlaps(calls, "caller", ends, "endpoint")
+    found = names.overlaps(calls.select("client"), "client", ends, "endpoint").groupBy("client").agg(F.array_join(F.array_sort(F.collect_list("endpoint")), ", ").alias("_found"))  # three at most
+    return calls.join(found, "client", "left").select("ui", "ui_type", "client", "line", F.coalesce("_found", F.lit("no direct endpoint match")).alias("probable_endpoints"))
 
 
 def export_dot(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +77,15 @@ _LATEST = "SELECT repo, path, code, row_number() OVER (PARTITION BY repo, path O
 _WORDS = "list_filter(string_split_regex(lower(trim(regexp_replace(regexp_replace({c}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))), ' +'), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(map(repr, names.STOP)) + "], w))"
 
 SQL = {
-    "get_ui_to_api_call_map": oracle("WITH c AS (" + tools.SECTIONS["get_api_client_summary__calls"] + "), p AS (" + tools.SECTIONS["get_api_endpoints__named"] + "), a AS (SELECT DISTINCT caller, unnest(" + _WORDS.replace("{c}", "caller") + ") AS w FROM (SELECT DISTINCT caller FROM c) x), b AS (SELECT DISTINCT endpoint, unnest(" + _WORDS.replace("{c}", "endpoint") + ") AS w FROM (SELECT DISTINCT endpoint FROM p) x), m AS (SELECT DISTINCT caller, endpoint FROM a JOIN b USING (w)) SELECT caller, endpoint FROM (SELECT *, row_number() OVER (PARTITION BY caller ORDER BY endpoint) AS k FROM m) y WHERE k <= 3"),
+    "get_ui_to_api_call_map": oracle(f"""WITH pairs AS (SELECT r.type, r.line, a.label AS al, a.name AS an, coalesce(a.path, '') AS ap, a.qn AS aq, b.label AS bl, concat(coalesce(b.name, ''), chr(10), coalesce(b.qn, '')) AS bt, b.qn AS bq FROM {{e}} r JOIN {{n}} a ON a.id = r.src JOIN {{n}} b ON b.id = r.dst),
+u AS (SELECT DISTINCT aq AS ui, al AS ui_type, bq AS client, line FROM pairs WHERE type = 'CALLS' AND al IN ('Component', 'Hook', 'Function', 'ArrowFunction', 'AsyncFunction') AND (al = 'Component' OR an ~ '(?is).*(route|router|page|screen|layout|view).*' OR ap ~ '(?is).*(components|pages|screens|views|routes|app/|src/app).*') AND bt ~ '(?is).*(client|api|fetch|axios|gateway|service|query|request|get|post|put|delete).*'),
+i AS (SELECT DISTINCT aq AS ui, al AS ui_type, bq AS client, line FROM pairs WHERE type = 'IMPORTS' AND al = 'Module' AND bl = 'Module' AND (ap ~ '(?is).*(components|pages|screens|views|routes|app/|src/app|admin-frontend|frontend).*' OR aq ~ '(?is).*(components|pages|screens|views|routes|app|admin-frontend|frontend).*') AND bt ~ '(?is).*(client|api|fetch|axios|gateway|service|query|request).*' AND NOT EXISTS (SELECT 1 FROM u)),
+c AS (SELECT * FROM u UNION ALL SELECT * FROM i),
+p AS (SELECT DISTINCT qn AS endpoint FROM {{n}} WHERE label IN ('Function', 'ArrowFunction', 'Method') AND regexp_matches(name, '(?i)(route|endpoint|handler|api_|get_|post_|put_|delete_)')),
+x AS (SELECT DISTINCT client, unnest({_WORDS.replace('{c}', 'client')}) AS w FROM c), y AS (SELECT DISTINCT endpoint, unnest({_WORDS.replace('{c}', 'endpoint')}) AS w FROM p),
+m AS (SELECT client, endpoint, row_number() OVER (PARTITION BY client ORDER BY endpoint) AS k FROM (SELECT DISTINCT client, endpoint FROM x JOIN y USING (w)) z),
+f AS (SELECT client, string_agg(endpoint, ', ' ORDER BY endpoint) AS probable FROM m WHERE k <= 3 GROUP BY client)
+SELECT c.ui, c.ui_type, c.client, c.line, coalesce(f.probable, 'no direct endpoint match') AS probable_endpoints FROM c LEFT JOIN f ON f.client = c.client"""),
     "repo_metrics": f"""WITH f AS (SELECT repo, path, code, {_FAMILY} AS family FROM (SELECT *, lower(regexp_extract(path, '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM ({_LATEST}) a WHERE k = 1 AND NOT regexp_matches(path, '{preflight.IGNORED_ANYWHERE}') AND NOT regexp_matches(path, '{preflight.IGNORED_AT_ROOT}')) b),
 m AS (SELECT repo, count(*) AS files, CAST(sum(coalesce(len(list_filter(string_split_regex(code, '\\r?\\n'), lambda x: trim(replace(x, chr(9), ' ')) <> '')), 0)) AS BIGINT) AS loc, string_agg(DISTINCT family, ', ' ORDER BY family) AS families, count(DISTINCT family) AS n FROM f WHERE family IS NOT NULL GROUP BY repo),
 s AS (SELECT *, CASE WHEN loc <= 10000 THEN 'small' WHEN loc <= 50000 THEN 'medium' WHEN loc <= 150000 THEN 'large' ELSE 'xlarge' END AS band,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomgraph import graph as G
 from loomgraph.functions.dialect import duck_sql
 from loomgraph.operators import tools
+from loomgraph.plans import tool_sql
 
 
 def _query(name: str):
@@ -19,4 +20,5 @@ def oracle(text: str) -> str:
 
 
 QUERIES = {name: _query(name) for name in tools.SECTIONS}
-SQL = {name: oracle(text) for name, text in tools.SECTIONS.items()}
+#: Written apart where ``tool_sql`` has a text; for the rest the operator's own text, which checks the plan and not the reading.
+SQL = {name: oracle(tool_sql.SQL.get(name, text)) for name, text in tools.SECTIONS.items()}
