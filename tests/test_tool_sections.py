@@ -29,6 +29,7 @@ def graph(spark):
         if label in ("Class", "Module"):
             name = words[7 + i // 11] if label == "Class" else words[14 + i // 11 % 6]
         nodes.append((f"n{i}", label, name, f"p{i % 9}.{name}{i % 40}", "r", r.choice([None, "src/app/a.tsx", "lib/b.ts"]), "java", r.choice(["public", "protected", "private", None]), i, None, None, None, r.random() < 0.1))
+    nodes += [(f"free{i}", "Class", f"Free{i}", f"p.Free{i}", "r", None, "java", None, i, None, None, None, False) for i in range(2)]
     edges = [(i, f"n{r.randrange(70)}", f"n{r.randrange(70)}", r.choice(types), i % 50, r.choice([None, 0.5, 0.95])) for i in range(9000)]
     n = "id string, label string, name string, qn string, repo string, path string, language string, visibility string, line long, end_line long, statement_type string, code string, external boolean"
     return G.connected(spark.createDataFrame(nodes, n), spark.createDataFrame(edges, "rel_id long, src string, dst string, type string, line long, confidence double")), nodes, edges
