@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of items in one automaton; at most twice as many states, some 100 bytes each in a broadcast.
-BLOCK_WORDS = 400_000
+#: Words of items in one automaton: at most twice as many states, each a dictionary, some 400 bytes in a worker.
+BLOCK_WORDS = 100_000
+#: Automata that meet a document in one scan of the corpus; a worker holds so many.
+BLOCKS = 4
 MIN_WORDS = 13
 
 _WORD = re.compile(r"[^\W_]+")
@@ -153,12 +155,12 @@ def spans(automaton: Automaton, seq: list[str]) -> dict[int, list[tuple[int, int
     return out
 
 
-def automata(items: DataFrame, min_words: int) -> list[Automaton]:
+def automata(items: DataFrame, min_words: int, block_words: int = BLOCK_WORDS) -> list[Automaton]:
     """Blocks of items; ``items`` (item_id, text) is the held-out set, read to the driver block by block."""
     blocks, block, size = [], [], 0
     for r in items.select("item_id", "text").where("item_id IS NOT NULL").toLocalIterator():
         seq = words(r.text)
-        if size + len(seq) > BLOCK_WORDS and block:
+        if size + len(seq) > block_words and block:
             blocks.append(Automaton(block, min_words))
             block, size = [], 0
         if len(seq) >= min_words:
@@ -167,26 +169,28 @@ def automata(items: DataFrame, min_words: int) -> list[Automaton]:
     return [*blocks, Automaton(block, min_words)] if block else blocks
 
 
-def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def leaked_spans(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, item_id, start, end, doc_words)``: runs of words (0-based, end exclusive) shared with an item, each at least min_words long.
 
-    documents: (doc_id, text); rows repeated give repeated results.
+    documents: (doc_id, text); rows repeated give repeated results. A document is
+    read and cut into words once for ``BLOCKS`` automata.
     """
     spark = documents.sparkSession
     out = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("doc_words", pa.int64())])
     ddl = "doc_id long, item_id long, start long, end long, doc_words long"
     result = None
-    for automaton in automata(items, min_words):
-        sent = spark.sparkContext.broadcast(automaton)
+    sent = [spark.sparkContext.broadcast(a) for a in automata(items, min_words, block_words)]
+    for at in range(0, len(sent), BLOCKS):
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            a = sent.value
+        def run(batches: Iterator[pa.RecordBatch], sent=sent[at : at + BLOCKS]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 rows = []
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     seq = words(text)
-                    if len(seq) >= a.min_words and a.may_match(seq):
-                        rows.extend((doc, item, s, e, len(seq)) for item, runs in spans(a, seq).items() for s, e in runs)
+                    if len(seq) >= min_words:
+                        for a in (x.value for x in sent):
+                            if a.may_match(seq):
+                                rows.extend((doc, item, s, e, len(seq)) for item, runs in spans(a, seq).items() for s, e in runs)
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows) if rows else [[]] * 5, out)], schema=out)
 
         part = documents.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL").mapInArrow(run, ddl)

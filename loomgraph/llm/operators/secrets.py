@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.operators.tokens import VOCABULARY, encoder
+from loomgraph.llm.operators.tokens import VOCABULARY, encoder, vocabulary_file
 
 #: Characters per subword below which a string is unnatural.
 UNNATURAL = 2.7
@@ -335,8 +335,10 @@ def credentials(rows: DataFrame, vocabulary: str = VOCABULARY, text: bool = Fals
     """
     ddl = "id string, found int, code string" if text else "id string, line_no long, start long, length long, kind string, score double"
 
+    content = vocabulary_file(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(encoder(vocabulary))
+        finder = Finder(encoder(vocabulary, content))
         names = ["id", "found", "code"] if text else ["id", "line_no", "start", "length", "kind", "score"]
         types = [pa.string(), pa.int32(), pa.string()] if text else [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64()]
         for b in batches:

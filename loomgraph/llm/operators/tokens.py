@@ -17,13 +17,18 @@ PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 _LOADED: dict[str, object] = {}
 
 
-def encoder(path: str = VOCABULARY):
-    """``text -> token ids`` of the vocabulary at ``path``, loaded once a worker; special tokens are ordinary text."""
+def vocabulary_file(path: str = VOCABULARY) -> bytes:
+    """The vocabulary as the driver has it, to be sent with a task: executors need no such file. It has a fixed size, under 1 MB."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(path: str = VOCABULARY, content: bytes | None = None):
+    """``text -> token ids`` of the vocabulary at ``path``, or of its ``content``, made once a worker; special tokens are ordinary text."""
     if path not in _LOADED:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, (content or vocabulary_file(path)).splitlines())}
         _LOADED[path] = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return _LOADED[path]
 
@@ -33,8 +38,10 @@ def with_tokens(rows: DataFrame, text: str, keep: list[str], vocabulary: str = V
     kept = rows.select(*keep, F.col(text).alias("_text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "_text") + ", tokens long"
 
+    content = vocabulary_file(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, content)
         for b in batches:
             n = pa.array([len(encode(t)) if t else 0 for t in b.column("_text").to_pylist()], pa.int64())
             cols = [b.column(c) for c in keep]

@@ -67,3 +67,13 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     whole = sorted(map(tuple, leak.leaked_spans(d, e).collect()))
     monkeypatch.setattr(leak, "BLOCK_WORDS", 90)
     assert sorted(map(tuple, leak.leaked_spans(d, e).collect())) == whole and whole
+
+
+def test_blocks_of_items_find_what_one_automaton_finds(spark):
+    r = random.Random(8)
+    w = lambda n: [r.choice("abcdefghijklmnopqrstuvwxyz") * r.randrange(1, 4) for _ in range(n)]
+    items = [(i, " ".join(w(40))) for i in range(12)]
+    docs = [(i, " ".join(w(30) + items[i % 12][1].split()[5 : 5 + i] + w(30))) for i in range(36)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one = sorted(leak.leaked_spans(d, i).collect())
+    assert one and sorted(leak.leaked_spans(d, i, block_words=50).collect()) == one
