@@ -46,8 +46,8 @@ def shares(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def key_hash(key: Column) -> Column:
-    """Non-negative 60-bit hash of a record's key."""
-    return F.shiftrightunsigned(F.xxhash64(key), 4)
+    """Non-negative 60-bit hash of a record's key: the first 15 digits of its MD5, which other engines have as well."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("long")
 
 
 def thresholds(sizes: DataFrame, wanted: dict[str, int], bits: int = BITS) -> dict[str, int]:
@@ -87,7 +87,12 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY)
     A source whose budget is n times its tokens and a rest gives every record n
     times, and once more those with a hash below its threshold.
     """
-    sizes = materialize(measured(documents, targets, vocabulary).withColumn("hash", key_hash(F.col("doc_id"))), "tokens")
+    return mix_sizes(measured(documents, targets, vocabulary), targets)
+
+
+def mix_sizes(sizes: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``mix`` of records whose size is known: (doc_id, source, tokens)."""
+    sizes = materialize(sizes.withColumn("hash", key_hash(F.col("doc_id"))), "tokens")
     plan = shares(sizes, targets).collect()  # one row a source of the target table
     whole = {r.source: r.budget // r.own_tokens if r.own_tokens else 0 for r in plan}
     cut = thresholds(sizes, {r.source: r.budget - whole[r.source] * r.own_tokens for r in plan})
