@@ -31,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.operators.clusters import clusters
@@ -292,10 +292,10 @@ def _classes(seen: DataFrame, kind: str) -> DataFrame:
     return seen.where(F.col(f"{kind}_cls").isNotNull()).groupBy(F.col(f"{kind}_cls").alias("cls")).agg(*own).withColumn("size", F.size("set"))
 
 
-def _clustered(seen: DataFrame, classes: DataFrame, kind: str, bucket: int) -> DataFrame:
-    """``(<kind>_cls, <kind>)``: the cluster of each class; a class without a link is its own."""
-    found = clusters(classes, SIMILAR, SKETCH, bucket)
-    return classes.select("cls").join(found, "cls", "left").select(F.col("cls").alias(f"{kind}_cls"), F.coalesce("cluster", "cls").alias(kind))
+def _known(rows: DataFrame, other: DataFrame, key: str, as_text: Column) -> DataFrame:
+    """``rows`` left-joined with ``other`` by ``key``, with null keys spread over all tasks rather than sent to one."""
+    name = other.withColumn("_key", as_text).drop(key)
+    return rows.withColumn("_key", F.coalesce(as_text, F.concat(F.lit("\n"), F.xxhash64("id").cast("string")))).join(name, "_key", "left").drop("_key")
 
 
 def classify(files: DataFrame, bucket: int = BUCKET, rules: bool = True) -> DataFrame:
@@ -310,14 +310,12 @@ def classify(files: DataFrame, bucket: int = BUCKET, rules: bool = True) -> Data
     src = files.select("id", "repo", "path", "code").where(F.col("id").isNotNull() & F.col("code").isNotNull() & (F.length("code") > 0))
     seen = materialize(src.mapInArrow(describe, _DDL), "texts")
 
-    # structure and literals in one run: their bands are salted apart
-    shapes = materialize(_classes(seen, "structure").unionByName(_classes(seen, "literal")), "shapes")
-    shape = materialize(_clustered(seen, shapes, "structure", bucket), "shape")
-    contents = materialize(_classes(seen, "content"), "contents")
-    content = materialize(_clustered(seen, contents, "content", bucket), "content")
-
+    # one run over all classes: the bands and keys of the three kinds are salted apart
+    classes = materialize(_classes(seen, "structure").unionByName(_classes(seen, "literal")).unionByName(_classes(seen, "content")), "classes")
+    found = materialize(clusters(classes, SIMILAR, SKETCH, bucket), "clusters")
     flat = seen.drop(*[f"{k}_{c}" for k in ("content", "structure", "literal") for c in ("set", "sketch", "bands")])
-    flat = flat.join(shape, "structure_cls", "left").join(shape.select(F.col("structure_cls").alias("literal_cls"), F.col("structure").alias("literal")), "literal_cls", "left").join(content, "content_cls", "left")
+    for k in ("content", "structure", "literal"):  # a class without a link is a cluster of its own
+        flat = _known(flat, found.select(F.col("cls").alias(f"{k}_cls"), F.col("cluster").alias(k)), f"{k}_cls", F.col(f"{k}_cls").cast("string")).withColumn(k, F.coalesce(k, f"{k}_cls"))
     like_blob = (F.col("literals") >= LITERALS) & (F.col("n") >= LEAST_BLOB) | (F.col("literal_chars") >= LITERAL_CHARS)
     code = (F.col("signs") >= SIGNS) & (F.col("n") >= 12)
     repeats = (F.col("distinct") < REPETITIVE) & code & ~like_blob & (F.col("n") >= LEAST)
@@ -341,8 +339,9 @@ def classify(files: DataFrame, bucket: int = BUCKET, rules: bool = True) -> Data
     places = placed.groupBy("place").agg(F.count("*").alias("files"), F.sum(is_copy.cast("int")).alias("copies")).where((F.col("copies") >= PLACE_FILES) & (F.col("copies") >= PLACE_SHARE * F.col("files"))).select("place")
     there = placed.join(places, "place", "left_semi").select("id").distinct().withColumn("_by_place", F.lit(True))
 
-    out = at.join(family, "structure", "left").join(blobs, "literal", "left")
-    out = out.join(names.select("library", F.lit(True).alias("_by_header")), "library", "left").join(names.select(F.col("library").alias("folder"), F.lit(True).alias("_by_folder")), "folder", "left").join(there, "id", "left")
+    out = _known(at.join(family, "structure", "left"), blobs, "literal", F.col("literal").cast("string"))
+    out = _known(out, names.select("library", F.lit(True).alias("_by_header")), "library", F.col("library"))
+    out = _known(out, names.select(F.col("library").alias("folder"), F.lit(True).alias("_by_folder")), "folder", F.col("folder")).join(there, "id", "left")
     yes = lambda c: F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(False))
     learnt = (yes("_by_header") | yes("_by_folder") | yes("_by_place")) & F.col("code")
     licensed = yes("licensed") & F.col("code") if rules else F.lit(False)
