@@ -1,5 +1,5 @@
 """A read-only subset of Cypher, compiled to DataFrame plans."""
 
-from loomgraph.cypher.compiler import CypherError, query
+from loomgraph.cypher.compiler import CypherError, execute, query
 
-__all__ = ["CypherError", "query"]
+__all__ = ["CypherError", "execute", "query"]

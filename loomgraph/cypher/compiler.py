@@ -383,3 +383,8 @@ def query(graph: Graph, text: str, **params) -> DataFrame:
         if how == "distinct":
             out = out.distinct()
     return out
+
+
+def execute(graph: Graph, text: str, limit: int = 50, **params) -> DataFrame:
+    """``query`` for a reader who wants a page: the first ``limit`` rows, which is kept between 1 and 200."""
+    return query(graph, text, **params).limit(max(1, min(limit, 200)))

@@ -24,6 +24,18 @@ def _dotted(node: ast.AST) -> str | None:
 
 
 def facts(repo: str | None, path: str, code: str) -> list[tuple]:
+    """``_facts`` with ids that name the repository, where there is one: equal paths of two repositories are two nodes."""
+    if not repo:
+        return _facts(repo, path, code)
+
+    def own(key: str) -> str:
+        kind, _, rest = key.partition(":")
+        return f"{kind}:{repo}:{rest}"
+
+    return [(r[0], own(r[1]), *r[2:9], own(r[9]), r[10]) if r[0] == "edge" else (r[0], own(r[1]), *r[2:]) for r in _facts(repo, path, code)]
+
+
+def _facts(repo: str | None, path: str, code: str) -> list[tuple]:
     """Nodes and edges of one file; a text that does not parse gives its file node only.
 
     Calls are resolved by name within the file (0.95) or over its imports (0.9).

@@ -10,7 +10,7 @@ from test_graph import got, make
 
 from loomgraph import graph as G
 from loomgraph.functions.dialect import duck_sql
-from loomgraph.operators import tools
+from loomgraph.operators import registry, tools
 from loomgraph.plans import repos, tool_sql
 
 EMPTY_IN_THE_TABLES = """get_module_interactions__outgoing get_module_interactions__incoming get_design_patterns__factory get_design_patterns__strategy get_domain_model__modules get_domain_model__entities
@@ -80,3 +80,14 @@ def test_screens_to_endpoints_by_hand(spark):
     nodes = [("web.app", "Module"), ("lib.fetcher", "Module")]
     assert got(repos.ui_calls(make(spark, nodes, [("web.app", "IMPORTS", "lib.fetcher")])), "ui", "client") == [("web.app", "lib.fetcher")]
     assert repos.ui_calls(make(spark, nodes, [])).where(F.col("ui").isNotNull()).count() == 0
+
+
+def test_summaries_and_pages_of_cypher(graph, spark):
+    g = graph[0]
+    sections = lambda df: {r.section for r in df.select("section").distinct().collect()}
+    assert {"schema", "summary", "package", "dependency", "files", "layer by annotation", "layer by name", "language"} <= sections(registry.call(g, "get_architecture_summary"))
+    package = tools.call(g, "get_module_interactions__outgoing").first().module
+    assert {"contents", "calls", "hotspot"} <= sections(registry.call(g, "get_module_deep_dive", package=package))
+    assert len(sections(registry.call(g, "get_frontend_architecture_summary"))) >= 8
+    count = lambda **k: registry.call(g, "execute_cypher", query="MATCH (a)-[:CALLS]->(b) RETURN a.name AS a", **k).count()
+    assert (count(), count(limit=7), count(limit=0), count(limit=999)) == (50, 7, 1, 200)
