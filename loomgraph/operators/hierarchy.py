@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from loomgraph.schema import names_something
 from loomgraph.session import materialize, shuffle_partitions
 
-#: Rows one task contracts; also the size of a quotient that one task solves.
-ROWS_PER_TASK = 150_000
+#: Rows one task contracts, and the rows of a quotient that is left to one task.
+ROWS_PER_TASK, LAST = 150_000, 1_000
 
 _ARROW = pa.schema([("tree", pa.string()), ("child", pa.string()), ("parent", pa.string()), ("root", pa.string()), ("cyclic", pa.bool_()), ("low", pa.string()), ("path", pa.list_(pa.string()))])
 _DDL = "tree string, child string, parent string, root string, cyclic boolean, low string, path array<string>"
@@ -123,7 +123,7 @@ def _double(links: DataFrame, rows: int, paths: bool) -> DataFrame:
 
 
 def _solve(links: DataFrame, rows: int, paths: bool, rows_per_task: int, depth: int = 0) -> DataFrame:
-    if rows <= rows_per_task:
+    if rows <= min(LAST, rows_per_task):
         return links.coalesce(1).mapInArrow(_contract(paths, True), _DDL)
     spark = links.sparkSession
     parts = max(2, math.ceil(rows / rows_per_task)) if depth else max(2, math.ceil(rows / rows_per_task), shuffle_partitions(spark))
