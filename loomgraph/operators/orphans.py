@@ -114,13 +114,17 @@ COUNTED = ["refs", "orphans", "open_now", "resolved", "reopened"]
 
 
 class OrphanStore:
-    """Pending-orphan state in ``folder``; ``by`` are the columns of references that snapshots count by, ``buckets`` the number of pieces keys are hashed into.
+    """Pending-orphan state in ``folder``; ``by`` are the columns of references that snapshots count by.
 
+    ``buckets`` is the number of pieces keys are hashed into, the session's
+    shuffle partitions unless given; a folder keeps the number it began with.
     Batches have numbers that grow. Null keys are kept out by the caller.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, by: list[str], buckets: int = 64) -> None:
-        self.spark, self.folder, self.by, self.buckets = spark, folder.rstrip("/"), by, buckets
+    def __init__(self, spark: SparkSession, folder: str, by: list[str], buckets: int | None = None) -> None:
+        self.spark, self.folder, self.by = spark, folder.rstrip("/"), by
+        begun = self._versions()
+        self.buckets = self._manifest(begun[-1])["buckets"] if begun else buckets or max(64, shuffle_partitions(spark))
 
     def _versions(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in listed(self.spark, f"{self.folder}/manifests") if n.endswith(".json"))
@@ -178,7 +182,7 @@ class OrphanStore:
                 past = self.spark.read.schema(totals_ddl).parquet(f"{self.folder}/totals/v={before[-1]}")
                 totals = past.unionByName(was).unionByName(totals).groupBy(*self.by).agg(*[F.sum(c).alias(c) for c in COUNTED])
             totals.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/totals/v={number}")  # one row a group that is counted by
-        manifest = {"keys": last["keys"] | keys, "counts": last["counts"] | counts, "references": [*last["references"], number], "types": {"totals": totals_ddl, "payload": payload, "kinds": kinds}}
+        manifest = {"keys": last["keys"] | keys, "counts": last["counts"] | counts, "references": [*last["references"], number], "buckets": self.buckets, "types": {"totals": totals_ddl, "payload": payload, "kinds": kinds}}
         write_text(self.spark, f"{self.folder}/manifests/{number}.json", json.dumps(manifest))
 
     def references(self, number: int | None = None) -> DataFrame:
